@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from folioframe import fixed_values as fx
 from folioframe.functions import scoring as sc
 from folioframe.functions import text as tx
+from folioframe.session import reuse
 
 # --- substring lookup through the vocabulary ---------------------------------------------
 
@@ -90,7 +91,8 @@ def required_tokens(requests: DataFrame, chunks: DataFrame, scopes: DataFrame) -
     A token no visible chunk contains is optional; when none is left all are
     required.  Returns the requests with tokens, required, optional and anchor (the
     rarest required token: every chunk that can satisfy the request is found under
-    it), and (anchor, term): the vocabulary words an anchor occurs in.
+    it), and (anchor, term): the vocabulary words an anchor occurs in.  Both are of
+    the size of the requests and are read several times, so they are materialised.
     """
     seen = scope_frequencies(token_rows(chunks, "label_id"), scopes)
     folded = seen.select("term").distinct().withColumn("folded", tx.lemma(F.col("term")))
@@ -145,7 +147,10 @@ def required_tokens(requests: DataFrame, chunks: DataFrame, scopes: DataFrame) -
         F.array_except("asked", required).alias("optional"),
         anchor.alias("anchor"),
     )
-    return out, terms.select(F.struct("token", "fence").alias("anchor"), "term")
+    out = reuse(out)
+    used = out.where(F.col("anchor").isNotNull()).select("anchor").distinct()
+    anchors = terms.select(F.struct("token", "fence").alias("anchor"), "term").join(used, "anchor", "left_semi")
+    return out, reuse(anchors)
 
 
 def candidates(asked: DataFrame, anchor_terms: DataFrame, chunks: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -184,14 +189,19 @@ def phrase_candidates(requests: DataFrame, chunks: DataFrame, scopes: DataFrame)
 
 
 def keyword_matches(
-    requests: DataFrame, chunks: DataFrame, scopes: DataFrame, literal_only: bool = False
+    requests: DataFrame,
+    chunks: DataFrame,
+    scopes: DataFrame,
+    literal_only: bool = False,
+    analysed: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Scored (request, chunk) pairs that hold all required tokens.
 
     The token test runs before the pool is cut, so no match is lost to the cut.
     ``literal_only`` also demands the literal prefilter of the full-text scan.
+    ``analysed`` passes on the outcome of :func:`required_tokens`.
     """
-    asked, anchor_terms = required_tokens(requests, chunks, scopes)
+    asked, anchor_terms = analysed or required_tokens(requests, chunks, scopes)
     pairs = candidates(asked, anchor_terms, chunks, scopes)
     rows = pairs.join(asked.select("trace_id", "query", "tokens", "required"), "trace_id").join(
         chunks.withColumn("_lemmas", F.array_distinct(tx.lemmas(F.col("content")))), "chunk_id"
@@ -299,8 +309,9 @@ def rrf(ranked: DataFrame, group: list[str], top_k: int | None = None, k: int =
 
 def fulltext_hybrid(requests: DataFrame, chunks: DataFrame, scopes: DataFrame, pool: int = 64) -> DataFrame:
     """Keyword ranking and BM25 (cut to the pool, then token-filtered), fused by rank."""
-    keyword = rank_by_score(keyword_matches(requests, chunks, scopes, literal_only=True), ["trace_id"], pool)
-    asked, _ = required_tokens(requests, chunks, scopes)
+    analysed = required_tokens(requests, chunks, scopes)
+    asked = analysed[0]
+    keyword = rank_by_score(keyword_matches(requests, chunks, scopes, True, analysed), ["trace_id"], pool)
     need_all = (F.size("required") >= 1) & (F.size("tokens") >= 2)
     must_lemmas = tx.lemmas(F.concat_ws(" ", "required"))
     best = (
