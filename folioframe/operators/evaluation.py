@@ -98,7 +98,7 @@ def compare_variants(results: DataFrame, variants: list[str], k: int = 3) -> Dat
     """Hits and mean score per query, one pair of columns per index variant."""
     top = results.where(F.col("rank") <= k)
     wide = top.groupBy("trace_id").pivot("variant", variants).agg(
-        F.count("*").alias("hits"), F.round(F.avg("score"), 4).alias("score")
+        F.count("score").alias("hits"), F.round(F.avg("score"), 4).alias("score")
     )
     return wide.select(
         "trace_id",
@@ -151,12 +151,10 @@ def stratified_sample(files: DataFrame, priority: list[str], target: int = 20, m
 
 def attempt_history(attempts: DataFrame, keep: int = 20) -> DataFrame:
     """Per (user, lesson): attempts kept, whether it was ever passed, last score."""
-    w = Window.partitionBy("user_id", "lesson_id").orderBy(F.col("at").desc())
-    numbered = attempts.withColumn("_n", F.row_number().over(w))
-    return numbered.groupBy("user_id", "lesson_id").agg(
-        F.count_if(F.col("_n") <= keep).alias("kept"),
+    return attempts.groupBy("user_id", "lesson_id").agg(
+        F.least(F.count("*"), F.lit(keep)).alias("kept"),
         F.bool_or("passed").alias("completed"),
-        F.max(F.when(F.col("_n") == 1, F.col("score"))).alias("last_score"),
+        F.max_by("score", "at").alias("last_score"),
     )
 
 

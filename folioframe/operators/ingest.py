@@ -6,26 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions import text as tx
+from folioframe.operators import scan
 
 
 def dedup_key(company: Column, project: Column, content_hash: Column) -> Column:
     return F.concat_ws(":", company, project, content_hash)
 
 
-def dedup_decisions(arrivals: DataFrame, records: DataFrame | None = None) -> DataFrame:
-    """Sequential dedup and idempotency as two window passes.
+def dedup_decisions(
+    arrivals: DataFrame, records: DataFrame | None = None, block_rows: int = scan.BLOCK_ROWS
+) -> DataFrame:
+    """Sequential dedup and idempotency without walking a key in one task.
 
     ``arrivals``: arrival (order), dedup_key, classification, doc_id, force_reprocess,
     idempotency_key.  ``records`` (dedup_key, classification, doc_id) are documents
     known before.  The first row of an idempotency key decides for the later ones,
-    which never touch the records.
+    which never touch the records.  A row is accepted when it is the first of its key
+    or forced; others refer to the latest accepted row before them.
     """
-    w_idem = Window.partitionBy("idempotency_key").orderBy("arrival")
-    keyed = arrivals.where(F.coalesce("idempotency_key", F.lit("")) != "").withColumn(
-        "_first", F.first("arrival").over(w_idem)
-    )
-    free = arrivals.where(F.coalesce("idempotency_key", F.lit("")) == "").withColumn("_first", F.col("arrival"))
-    marked = keyed.unionByName(free)
+    has_key = F.coalesce("idempotency_key", F.lit("")) != ""
+    firsts = arrivals.where(has_key).groupBy("idempotency_key").agg(F.min("arrival").alias("_first"))
+    marked = arrivals.join(firsts, "idempotency_key", "left").withColumn("_first", F.coalesce("_first", "arrival"))
 
     live = marked.where(F.col("arrival") == F.col("_first")).select(
         "arrival", "dedup_key", "classification", "doc_id", "force_reprocess", F.lit(False).alias("known")
@@ -41,28 +42,30 @@ def dedup_decisions(arrivals: DataFrame, records: DataFrame | None = None) -> Da
                 F.lit(True).alias("known"),
             )
         )
-    w = Window.partitionBy("dedup_key").orderBy("arrival")
-    first = F.row_number().over(w) == 1
-    accepted = F.col("_is_first") | F.col("force_reprocess")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    latest = lambda c: F.last(F.when(accepted, F.col(c)), ignorenulls=True).over(before)
-    decided = live.withColumn("_is_first", first).withColumns(
-        {"_class": latest("classification"), "_doc": latest("doc_id"), "_accepted": accepted}
+    lead = live.groupBy("dedup_key").agg(F.min("arrival").alias("_lead"))
+    live = live.join(lead, "dedup_key").withColumns(
+        {
+            "_is_first": F.col("arrival") == F.col("_lead"),
+            "_block": scan.block_of(F.col("arrival"), block_rows),
+        }
     )
-    same = F.col("_class").eqNullSafe(F.col("classification"))
+    accepted = F.col("_is_first") | F.col("force_reprocess")
+    store = F.when(accepted, F.struct("classification", "doc_id"))
+    decided = scan.running_last(live, ["dedup_key"], ["arrival"], _record=store)
+    same = F.col("_record.classification").eqNullSafe(F.col("classification"))
     decided = decided.where(~F.col("known")).select(
         F.col("arrival").alias("_first"),
-        F.when(F.col("_accepted"), "accepted").otherwise("duplicate").alias("ingest_status"),
+        F.when(accepted, "accepted").otherwise("duplicate").alias("ingest_status"),
         F.when(F.col("_is_first"), "none")
-        .when(F.col("_accepted"), "reprocessed")
+        .when(accepted, "reprocessed")
         .when(same, "skipped_processing")
         .otherwise("linked_existing")
         .alias("_action"),
-        F.when(F.col("_accepted"), F.col("doc_id")).alias("out_doc_id"),
-        F.when(~F.col("_accepted"), F.col("_doc")).alias("matched_doc_id"),
+        F.when(accepted, F.col("doc_id")).alias("out_doc_id"),
+        F.when(~accepted, F.col("_record.doc_id")).alias("matched_doc_id"),
     )
     repeated = F.col("arrival") != F.col("_first")
-    return marked.join(decided, "_first").select(
+    return marked.drop("doc_id").join(decided, "_first").select(
         "arrival",
         "dedup_key",
         "ingest_status",

@@ -51,9 +51,13 @@ def ingest_yield(stats: DataFrame) -> DataFrame:
     )
 
 
+def _seconds(c: Column) -> Column:
+    return c.cast("timestamp").cast("double")
+
+
 def eta_hours(started: Column, now: Column, live: Column, total: Column, min_hours: float = 0.05) -> Column:
     """Hours left at the mean rate since the start; null while too early to tell."""
-    elapsed = (now.cast("double") - started.cast("double")) / 3600.0
+    elapsed = (_seconds(now) - _seconds(started)) / 3600.0
     return (
         F.when(total <= 0, F.lit(None).cast("double"))
         .when(live >= total, 0.0)
@@ -89,9 +93,9 @@ def progress_log_rate(log: DataFrame, now: Column, group: list[str]) -> DataFram
         last("live_progress").alias("_p1"),
         last("total").alias("_total"),
     )
-    hours = (F.col("last_at").cast("double") - F.col("first_at").cast("double")) / 3600.0
+    hours = (_seconds(F.col("last_at")) - _seconds(F.col("first_at"))) / 3600.0
     rate = F.when((F.col("_p1") > F.col("_p0")) & (hours > 0), (F.col("_p1") - F.col("_p0")) / hours)
-    since = F.greatest((now.cast("double") - F.col("last_at").cast("double")) / 3600.0, F.lit(0.0))
+    since = F.greatest((_seconds(now) - _seconds(F.col("last_at"))) / 3600.0, F.lit(0.0))
     left = F.greatest(F.col("_total") - (F.col("_p1") + F.col("_rate") * since), F.lit(0.0))
     eta = F.when((F.col("points") < 2) | F.col("_rate").isNull(), F.lit(None).cast("double")).when(
         F.col("_total") <= F.col("_p1"), 0.0

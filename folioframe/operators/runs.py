@@ -2,45 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe import fixed_values as fx
+from folioframe.operators import scan
 
 
-def failure_streaks(steps: DataFrame, run: str, order: list[str], limits: dict[str, int] | None = None) -> DataFrame:
+def _blocked(rows: DataFrame, order: list[str], block: Column | None) -> DataFrame:
+    return rows.withColumn("_block", scan.block_of(F.col(order[0])) if block is None else block)
+
+
+def failure_streaks(
+    steps: DataFrame,
+    run: str,
+    order: list[str],
+    limits: dict[str, int] | None = None,
+    block: Column | None = None,
+) -> DataFrame:
     """Streaks of failures, equal errors and equal tools, with the breaker decision.
 
     ``steps``: success, error_code, tool_name.  A success resets the streaks; the
     comparison with the last error or tool reaches across it.  A step without a tool
-    neither extends nor breaks the tool streak.
+    neither extends nor breaks the tool streak.  Streaks are running counts minus the
+    count where the streak began; ``block`` cuts long runs along the order.
     """
     lim = {**fx.BREAKER, **(limits or {})}
-    w = Window.partitionBy(run).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    key = [run]
     fail = ~F.col("success")
     uses_tool = fail & (F.coalesce("tool_name", F.lit("")) != "")
-    seg = steps.withColumns(
-        {
-            "_seg": F.sum(F.when(F.col("success"), 1).otherwise(0)).over(upto),
-            "_prev_error": F.last(F.when(fail, F.col("error_code")), ignorenulls=True).over(before),
-            "_prev_tool": F.last(F.when(uses_tool, F.col("tool_name")), ignorenulls=True).over(before),
-        }
+    seq = scan.running_last(
+        _blocked(steps, order, block), key, order,
+        _prev_error=F.when(fail, F.col("error_code")), _prev_tool=F.when(uses_tool, F.col("tool_name")),
     )
-    new_error = F.when(fail & ~F.col("error_code").eqNullSafe(F.col("_prev_error")), 1).otherwise(0)
-    new_tool = F.when(uses_tool & ~F.col("tool_name").eqNullSafe(F.col("_prev_tool")), 1).otherwise(0)
-    seg = seg.withColumns({"_error_run": F.sum(new_error).over(upto), "_tool_run": F.sum(new_tool).over(upto)})
-
-    def streak(parts: list[str], counted: Column) -> Column:
-        win = Window.partitionBy(run, *parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return F.when(fail, F.sum(F.when(counted, 1).otherwise(0)).over(win)).otherwise(0)
-
-    out = seg.withColumns(
+    one = lambda cond: F.when(cond, 1).otherwise(0)
+    seq = scan.running_sums(seq, key, order, _fails=one(fail), _tools=one(uses_tool))
+    new_error = fail & ~F.col("error_code").eqNullSafe(F.col("_prev_error"))
+    new_tool = uses_tool & ~F.col("tool_name").eqNullSafe(F.col("_prev_tool"))
+    seq = scan.running_last(
+        seq, key, order, inclusive=True,
+        _since_success=F.when(F.col("success"), F.col("_fails")),
+        _since_error=F.when(F.col("success"), F.col("_fails")).when(new_error, F.col("_fails") - 1),
+        _since_tool=F.when(F.col("success"), F.col("_tools")).when(new_tool, F.col("_tools") - 1),
+    )
+    streak = lambda total, base: F.when(fail, F.col(total) - F.coalesce(base, F.lit(0))).otherwise(0)
+    out = seq.withColumns(
         {
-            "failures": streak(["_seg"], fail),
-            "same_error": streak(["_seg", "_error_run"], fail),
-            "same_tool": streak(["_seg", "_tool_run"], uses_tool),
+            "failures": streak("_fails", "_since_success"),
+            "same_error": streak("_fails", "_since_error"),
+            "same_tool": streak("_tools", "_since_tool"),
         }
     )
     tripped = fail & (
@@ -48,50 +58,48 @@ def failure_streaks(steps: DataFrame, run: str, order: list[str], limits: dict[s
         | (F.col("same_error") >= lim["same_error_threshold"])
         | (uses_tool & (F.col("same_tool") >= lim["same_tool_threshold"]))
     )
-    return out.withColumn("tripped", tripped).drop(
-        "_seg", "_prev_error", "_prev_tool", "_error_run", "_tool_run"
-    )
+    return out.withColumn("tripped", tripped).drop(*[c for c in out.columns if c.startswith("_")])
 
 
-def run_budget(steps: DataFrame, run: str, order: list[str], budget: dict[str, float] | None = None) -> DataFrame:
+def run_budget(
+    steps: DataFrame,
+    run: str,
+    order: list[str],
+    budget: dict[str, float] | None = None,
+    block: Column | None = None,
+) -> DataFrame:
     """First step at which each limit is reached, per run.
 
     Only successful steps count.  A step that begins with the step limit already
     used up is the one that exceeds it.
     """
     b = budget or fx.RUN_BUDGETS["production"]
-    w = Window.partitionBy(run).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
     done = F.when(F.col("success"), 1).otherwise(0)
-    spent = lambda c: F.sum(F.when(F.col("success"), F.col(c)).otherwise(0)).over(upto)
-    seq = steps.withColumns(
-        {
-            "step_index": F.row_number().over(w),
-            "_steps_before": F.coalesce(F.sum(done).over(before), F.lit(0)),
-            "_tokens": spent("tokens"),
-            "_cost": F.round(spent("cost_usd"), 6),
-            "_ms": spent("elapsed_ms"),
-        }
+    spent = lambda c: F.when(F.col("success"), F.col(c)).otherwise(0)
+    seq = scan.running_sums(
+        _blocked(steps, order, block), [run], order,
+        step_index=F.lit(1), _steps=done, _tokens=spent("tokens"), _cost=spent("cost_usd"), _ms=spent("elapsed_ms"),
     )
     at = lambda cond: F.min(F.when(cond, F.col("step_index")))
     return seq.groupBy(run).agg(
         F.sum(done).cast("bigint").alias("steps_done"),
-        at(F.col("_steps_before") >= b["max_steps"]).alias("steps_exceeded_at"),
+        at(F.col("_steps") - done >= b["max_steps"]).alias("steps_exceeded_at"),
         at(F.col("_tokens") > b["max_tokens"]).alias("tokens_exceeded_at"),
-        at(F.col("_cost") > b["max_cost_usd"]).alias("cost_exceeded_at"),
+        at(F.round("_cost", 6) > b["max_cost_usd"]).alias("cost_exceeded_at"),
         at(F.col("_ms") > b["timeout_ms"]).alias("time_exceeded_at"),
     )
 
 
-def transition_check(states: DataFrame, run: str, order: list[str]) -> DataFrame:
+def transition_check(states: DataFrame, run: str, order: list[str], block: Column | None = None) -> DataFrame:
     """Each state change with whether the transition table (or a terminal target) allows it."""
     pairs = [(a, t) for a, targets in fx.ALLOWED_TRANSITIONS.items() for t in targets]
     table = states.sparkSession.createDataFrame(pairs, "from_state string, to_state string").withColumn(
         "_listed", F.lit(True)
     )
-    w = Window.partitionBy(run).orderBy(*order)
-    moved = states.withColumns({"from_state": F.lag("state", 1, "init").over(w), "to_state": F.col("state")})
+    moved = scan.running_last(_blocked(states, order, block), [run], order, from_state=F.col("state"))
+    moved = moved.withColumns(
+        {"from_state": F.coalesce("from_state", F.lit("init")), "to_state": F.col("state")}
+    ).drop("_block")
     ok = F.coalesce("_listed", F.lit(False)) | F.col("to_state").isin(fx.TERMINAL_STATES)
     return moved.join(table, ["from_state", "to_state"], "left").withColumn("allowed", ok).drop("_listed", "state")
 

@@ -370,11 +370,11 @@ def grant_requests_check(requests: DataFrame, folders: DataFrame) -> DataFrame:
 
 def supersede_grants(grants: DataFrame, order: list[str]) -> DataFrame:
     """A newer grant of the same employee, folder and type revokes earlier active ones."""
-    w = Window.partitionBy("employee_id", "folder_id", "grant_type").orderBy(*[F.col(c).desc() for c in order])
-    newest = F.row_number().over(w)
-    return grants.withColumn(
-        "status", F.when((newest > 1) & (F.col("status") == "active"), "revoked").otherwise(F.col("status"))
-    )
+    key = ["employee_id", "folder_id", "grant_type"]
+    newest = grants.groupBy(*key).agg(F.max(F.struct(*order)).alias("_newest"))
+    older = F.struct(*order) < F.col("_newest")
+    status = F.when(older & (F.col("status") == "active"), "revoked").otherwise(F.col("status"))
+    return grants.join(newest, key).withColumn("status", status).drop("_newest")
 
 
 def egress_route(

@@ -36,7 +36,11 @@ GRANT = (
 
 def _entries(spark: SparkSession, path: str, field: str, element: str) -> DataFrame:
     """Rows of ``{"field": [...]}`` or of a bare list, in the order of the file."""
-    raw = spark.read.text(path, wholetext=True)
+    return parse_entries(spark.read.text(path, wholetext=True), path, field, element)
+
+
+def parse_entries(raw: DataFrame, path: str, field: str, element: str) -> DataFrame:
+    """The same for rows whose ``value`` is a whole JSON document."""
     bare = F.regexp_like("value", F.lit(r"^\s*\["))
     wrapped = F.from_json("value", f"{field} array<struct<{_ddl(element)}>>")[field]
     listed = F.from_json("value", f"array<struct<{_ddl(element)}>>")
