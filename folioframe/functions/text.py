@@ -413,18 +413,29 @@ def share_of(c: Column, char_class: str) -> Column:
 
 def text_quality(c: Column, script: str = "[а-яёА-ЯЁ]", stub_text: str | None = None) -> Column:
     """0..1: how much a piece of text looks like prose in the given script."""
-    t = strip(F.coalesce(c, F.lit("")))
-    letters, digits = share_of(t, script), share_of(t, "[0-9]")
+    facts = let(
+        strip(F.coalesce(c, F.lit(""))),
+        lambda t: F.struct(
+            t.alias("t"),
+            F.length(t).alias("n"),
+            share_of(t, script).alias("letters"),
+            share_of(t, "[0-9]").alias("digits"),
+        ),
+    )
+    return let(facts, lambda x: _quality(x["t"], x["n"], x["letters"], x["digits"], stub_text))
+
+
+def _quality(t: Column, n: Column, letters: Column, digits: Column, stub_text: str | None) -> Column:
     score = (
         F.lit(0.35)
         + F.least(letters, F.lit(0.55))
-        + F.least(F.length(t) / 400.0, F.lit(0.25))
+        + F.least(n / 400.0, F.lit(0.25))
         - F.when(digits > 0.4, 0.15).otherwise(0.0)
     )
-    empty = (t == "") if stub_text is None else (t == "") | (t == stub_text)
+    empty = (n == 0) if stub_text is None else (n == 0) | (t == stub_text)
     return (
         F.when(empty, 0.0)
-        .when(F.length(t) < 24, 0.15)
+        .when(n < 24, 0.15)
         .when(F.substring(t, 1, 120).rlike(r"^[\d\s.,\-+]+$"), 0.05)
         .when((digits > 0.55) & (letters < 0.08), 0.1)
         .when((letters < 0.12) & (digits > 0.25), 0.2)

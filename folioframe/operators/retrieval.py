@@ -91,10 +91,10 @@ def required_tokens(requests: DataFrame, chunks: DataFrame, scopes: DataFrame) -
     A token no visible chunk contains is optional; when none is left all are
     required.  Returns the requests with tokens, required, optional and anchor (the
     rarest required token: every chunk that can satisfy the request is found under
-    it), and (anchor, term): the vocabulary words an anchor occurs in.  Both are of
-    the size of the requests and are read several times, so they are materialised.
+    it), and (anchor, term): the vocabulary words an anchor occurs in.  The vocabulary
+    counts and both results are read several times, so they are materialised.
     """
-    seen = scope_frequencies(token_rows(chunks, "label_id"), scopes)
+    seen = reuse(scope_frequencies(token_rows(chunks, "label_id"), scopes))
     folded = seen.select("term").distinct().withColumn("folded", tx.lemma(F.col("term")))
 
     asked = requests.withColumn("tokens", tx.tokens(F.col("query")))
@@ -164,7 +164,10 @@ def candidates(asked: DataFrame, anchor_terms: DataFrame, chunks: DataFrame, sco
     )
     found = token_rows(chunks, "chunk_id", "label_id").join(anchors, ["label_id", "term"])
     by_token = found.select("trace_id", "chunk_id").distinct()
-    return by_token.unionByName(phrase_candidates(asked.where(F.size("tokens") == 0), chunks, scopes))
+    without = asked.where(F.size("tokens") == 0)
+    if without.isEmpty():  # the usual case: no second pass over the text
+        return by_token
+    return by_token.unionByName(phrase_candidates(without, chunks, scopes))
 
 
 def phrase_candidates(requests: DataFrame, chunks: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -202,7 +205,9 @@ def keyword_matches(
     ``analysed`` passes on the outcome of :func:`required_tokens`.
     """
     asked, anchor_terms = analysed or required_tokens(requests, chunks, scopes)
-    pairs = candidates(asked, anchor_terms, chunks, scopes)
+    # materialised, so that its true size decides how the text is joined: a small set
+    # is broadcast and the text is not shuffled
+    pairs = reuse(candidates(asked, anchor_terms, chunks, scopes))
     rows = pairs.join(asked.select("trace_id", "query", "tokens", "required"), "trace_id").join(
         chunks.withColumn("_lemmas", F.array_distinct(tx.lemmas(F.col("content")))), "chunk_id"
     )
@@ -567,32 +572,23 @@ def select_for_analysis(
     running length fits.  A document with no usable piece keeps its first six.
     """
     body = tx.strip(F.coalesce("content", F.lit("")))
-    quality = tx.text_quality(body, script)
-    marked = chunks.withColumns(
-        {
-            "_len": F.length(body),
-            "_weight": F.round(quality * F.least(F.length(body), F.lit(800)), 6),
-            "_ok": (body != "") & (quality >= 0.15),
-        }
-    )
-    w = Window.partitionBy(*group).orderBy(F.col("_weight").desc(), F.col(order))
-    good = marked.where("_ok").withColumns(
+    seen = chunks.select(*group, order, F.length(body).alias("_len"), tx.text_quality(F.col("content"), script).alias("_q"))
+    ok = (F.col("_len") > 0) & (F.col("_q") >= 0.15)
+    weight = F.round(F.col("_q") * F.least("_len", F.lit(800)), 6)
+    marked = seen.withColumns({"_ok": ok, "_weight": F.when(ok, weight)})
+    # usable pieces first by weight; a document without any is in id order
+    per_doc = Window.partitionBy(*group)
+    w = per_doc.orderBy(F.col("_ok").desc(), F.col("_weight").desc(), F.col(order))
+    ranked = marked.withColumns(
         {
             "rank": F.row_number().over(w),
-            "running_chars": F.sum("_len").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "_sum": F.sum("_len").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "_any": F.bool_or("_ok").over(per_doc),
         }
     )
-    good = good.where(
-        ((F.col("running_chars") <= max_chars) | (F.col("rank") == 1)) & (F.col("rank") <= max_chunks)
-    )
-    rest = (
-        marked.join(good.select(*group).distinct(), group, "left_anti")
-        .withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(order)))
-        .where("rank <= 6")
-        .withColumn("running_chars", F.lit(None).cast("bigint"))
-    )
-    cols = [*group, order, "rank", "running_chars"]
-    return good.select(*cols).unionByName(rest.select(*cols))
+    within = ((F.col("_sum") <= max_chars) | (F.col("rank") == 1)) & (F.col("rank") <= max_chunks)
+    kept = ranked.where(F.when(F.col("_any"), F.col("_ok") & within).otherwise(F.col("rank") <= 6))
+    return kept.select(*group, order, "rank", F.when(F.col("_any"), F.col("_sum")).alias("running_chars"))
 
 
 def merge_path_matches(

@@ -124,14 +124,10 @@ def incremental_slice(spark, sf):
 )
 def replace_corpus(spark, sf):
     """The north corpus is loaded, then replaced by its labelled documents; south stays."""
-    import tempfile
-
-    from folioframe.session import prepare
+    from folioframe.session import new_folder
     from folioframe.sources import tables
 
-    prepare(spark)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-corpus-")
-    target = f"{shared}/corpus-{spark.sparkContext.applicationId}-{id(sf)}"
+    target = new_folder(spark, "corpus")
     chunks = b.chunks(spark, sf).select("chunk_id", "doc_id", "doc_no", "corpus_id")
     chunks.write.mode("overwrite").partitionBy("corpus_id").parquet(target)
     labels = b.table(spark, sf, "labels").select(F.col("doc_id").alias("doc_no"))

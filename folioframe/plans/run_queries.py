@@ -32,10 +32,9 @@ def steps(spark, sf):
 DAY = lambda: F.datediff(F.col("ts"), F.lit("2024-01-01"))
 
 
-@register(
-    "failure_streaks",
-    "WITH RECURSIVE " + SQL_STEPS.strip()
-    + """, s AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) AS n FROM steps),
+def sql_walk(order: str) -> str:
+    """The streaks as a step-by-step walk over each run."""
+    return "WITH RECURSIVE " + SQL_STEPS.strip() + f""", s AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY {order}) AS n FROM steps),
       walk AS (
         SELECT run, n, event_id, CASE WHEN success THEN 0 ELSE 1 END AS failures, CASE WHEN success THEN 0 ELSE 1 END AS same_error,
                CASE WHEN NOT success AND tool_name IS NOT NULL THEN 1 ELSE 0 END AS same_tool, CASE WHEN NOT success THEN error_code END AS le,
@@ -46,9 +45,14 @@ DAY = lambda: F.datediff(F.col("ts"), F.lit("2024-01-01"))
                CASE WHEN s.success THEN 0 WHEN s.tool_name IS NULL THEN w.same_tool WHEN s.tool_name = w.lt THEN w.same_tool + 1 ELSE 1 END,
                CASE WHEN s.success THEN w.le ELSE s.error_code END, CASE WHEN s.success OR s.tool_name IS NULL THEN w.lt ELSE s.tool_name END, s.success, s.tool_name
         FROM walk w JOIN s ON s.run = w.run AND s.n = w.n + 1)
-      SELECT event_id, CAST(failures AS BIGINT) AS failures, CAST(same_error AS BIGINT) AS same_error, CAST(same_tool AS BIGINT) AS same_tool,
-        NOT success AND (failures >= 3 OR same_error >= 2 OR (tool_name IS NOT NULL AND same_tool >= 2)) AS tripped FROM walk""",
-)
+    """
+
+
+TRIPPED = "NOT success AND (failures >= 3 OR same_error >= 2 OR (tool_name IS NOT NULL AND same_tool >= 2))"
+STREAKS = "CAST(failures AS BIGINT) AS failures, CAST(same_error AS BIGINT) AS same_error, CAST(same_tool AS BIGINT) AS same_tool"
+
+
+@register("failure_streaks", sql_walk("ts, event_id") + f" SELECT event_id, {STREAKS}, {TRIPPED} AS tripped FROM walk")
 def failure_streaks(spark, sf):
     rows = rn.failure_streaks(steps(spark, sf), "run", ["ts", "event_id"], block=DAY())
     big = lambda c: F.col(c).cast("bigint").alias(c)

@@ -5,7 +5,6 @@ them back, so the work grows with the tables.
 """
 
 import io
-import tempfile
 import zipfile
 
 import pandas as pd
@@ -13,23 +12,17 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import text as tx
 from folioframe.plans import bindings as b
-from folioframe.plans.registry import SQL, register
-from folioframe.plans.run_queries import steps
-from folioframe.session import prepare
+from folioframe.plans.registry import register
+from folioframe.plans.run_queries import STREAKS, TRIPPED, sql_walk, steps
+from folioframe.session import new_folder
 from folioframe.sources import archive as ar
 from folioframe.sources import tables as tb
 from folioframe.streaming import flows
 
 
 def scratch(spark, name):
-    """A new folder beside the checkpoints (local only when none is configured)."""
-    prepare(spark)
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return tempfile.mkdtemp(prefix=f"spark-{name}-")
-    import uuid
-
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    """A new folder beside the checkpoints."""
+    return new_folder(spark, name)
 
 
 _CH = "chunks_json"
@@ -169,27 +162,16 @@ def guess_suffix(spark, sf):
 
 @register(
     "scan_archive",
-    """WITH f AS (SELECT lang, CASE WHEN lang = 'en' THEN '.txt' WHEN lang = 'de' THEN '.bak' ELSE '.vsdx' END AS ext, sum(n_chars) AS n FROM documents GROUP BY 1)
-       SELECT 'folder ' || lang || '/part+1' || ext AS relative_path, ext AS extension, CASE ext WHEN '.txt' THEN 'ingest_candidate' WHEN '.bak' THEN 'skip' ELSE 'catalog_only' END AS import_action,
-         ext = '.txt' AS hashed FROM f""",
+    """SELECT DISTINCT 'lang=' || lang AS folder, '.txt' AS extension, 'ingest_candidate' AS import_action, true AS hashed FROM documents""",
 )
 def scan_archive(spark, sf):
-    """One file per language, with a blank and a plus sign in its path."""
+    """Documents written as text files, one folder per language, then listed with hashes."""
     root = scratch(spark, "archive")
-    ext = F.when(F.col("lang") == "en", ".txt").when(F.col("lang") == "de", ".bak").otherwise(".vsdx")
-    sizes = b.table(spark, sf, "documents").groupBy("lang").agg(F.sum("n_chars").alias("n")).withColumn("ext", ext)
-
-    def put(rows):
-        import os
-
-        for r in rows:
-            os.makedirs(f"{root}/folder {r['lang']}", exist_ok=True)
-            with open(f"{root}/folder {r['lang']}/part+1{r['ext']}", "w") as f:
-                f.write(str(r["n"]))
-
-    sizes.foreachPartition(put)
-    listing = ar.scan_archive(spark, root, compute_hash=True)
-    return listing.select("relative_path", "extension", "import_action", F.col("content_hash").isNotNull().alias("hashed"))
+    b.table(spark, sf, "documents").select("lang", F.base64(F.encode("text", "UTF-8")).alias("value")).write.partitionBy("lang").text(f"{root}/files")
+    listing = ar.scan_archive(spark, f"{root}/files", compute_hash=True)
+    return listing.select(
+        F.regexp_extract("relative_path", "^([^/]+)/", 1).alias("folder"), "extension", "import_action", F.col("content_hash").isNotNull().alias("hashed")
+    ).distinct()
 
 
 # --- streams: the tables are split into files, which the stream reads to the end ---------------
@@ -210,7 +192,7 @@ def _drain(stream, spark, mode):
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    return spark.read.parquet(f"{root}/out").drop("batch")
 
 
 def _rocks(spark):
@@ -289,10 +271,7 @@ def session_state(spark, sf):
 
 @register(
     "breaker_state",
-    SQL["failure_streaks"].replace("ORDER BY ts, event_id", "ORDER BY event_id").replace("SELECT event_id, CAST(failures", "SELECT CAST(run AS VARCHAR) AS run_id, event_id AS step, CAST(failures").replace(
-        "NOT success AND (failures >= 3", "1 AS tripped"
-    ).split(", 1 AS tripped")[0].rstrip().rstrip(",")
-    + " FROM walk WHERE NOT success AND (failures >= 3 OR same_error >= 2 OR (tool_name IS NOT NULL AND same_tool >= 2))",
+    sql_walk("event_id") + f" SELECT CAST(run AS VARCHAR) AS run_id, event_id AS step, {STREAKS} FROM walk WHERE {TRIPPED}",
 )
 def breaker_state(spark, sf):
     _rocks(spark)

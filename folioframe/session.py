@@ -3,26 +3,41 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+_local: dict[str, str] = {}
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Set the checkpoint folder from the session; use a local one only if unset."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return spark
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for durable intermediate data.
+
+    ``spark.checkpoint.dir`` of the session; a local folder only where it is unset
+    and Spark itself runs locally.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="spark-shared-")
+    return _local[app]
 
-def reuse(df: DataFrame) -> DataFrame:
-    """Materialise a frame that several branches read, cutting its lineage durably."""
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-def small_side(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only after counting; a larger side is left to the optimizer."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Write a frame that several branches read, and read it back.
+
+    The copy survives lost executors, is computed once, and its true size lets the
+    optimizer pick the join strategy.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, "reuse")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
