@@ -10,6 +10,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioframe.functions import text as tx
 
@@ -61,7 +62,7 @@ def apply_rules(texts: DataFrame, rules: list[tuple[str, str]], col: str = "text
         if words and right:
             compiled.append((rf"\b{words[0]}\b" if len(words) == 1 else r"\s+".join(words), right))
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def fix(batch: pd.Series) -> pd.Series:
         regexes = [(re.compile(p, re.I), r) for p, r in compiled]
 
@@ -77,7 +78,7 @@ def apply_rules(texts: DataFrame, rules: list[tuple[str, str]], col: str = "text
     return texts.withColumn(col, fix(F.col(col)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_unicode(batch: pd.Series) -> pd.Series:
     """Compatibility composition (NFKC)."""
     return batch.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -105,7 +106,7 @@ def _repair(text: str | None) -> str | None:
     return best
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair_mojibake(batch: pd.Series) -> pd.Series:
     """Undo UTF-8 text that was read as cp1251 or latin-1, when that scores better."""
     return batch.map(_repair)
