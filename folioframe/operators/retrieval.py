@@ -453,31 +453,91 @@ def _any_token_pairs(asked: DataFrame, docs: DataFrame, key: str, words: Column)
     return word_rows.join(by_term, "term").select("trace_id", key).distinct()
 
 
-def path_search(requests: DataFrame, manifest: DataFrame, limit: int = 10) -> DataFrame:
-    """Files by name: exact, other case, then token shares over the whole path."""
-    q = F.lower(tx.strip(F.col("query")))
-    toks = tx.tokens(F.col("query"))
-    asked = requests.select(
-        "trace_id", F.explode(F.when(F.size(toks) > 0, F.array_distinct(toks)).otherwise(F.array(q))).alias("token")
-    ).where("token <> ''")
-    words = F.split(F.lower("relative_path"), r"\s+|/")
-    pairs = _any_token_pairs(asked, manifest, "relative_path", words)
-    scored = (
-        pairs.join(requests.select("trace_id", "query"), "trace_id")
-        .withColumn("score", F.round(sc.path_score(F.col("query"), F.col("relative_path")), 3))
-        .where("score > 0")
-    )
-    return rank_by_score(scored, ["trace_id"], limit, tie="relative_path").select(
+def _lookup_tokens(query: Column) -> Column:
+    """Tokens of a file request; without any, its longest word."""
+    words = F.split(F.lower(tx.strip(query)), r"\s+|/")
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    toks = tx.tokens(query)
+    return F.when(F.size(toks) > 0, toks).otherwise(F.array(longest))
+
+
+def path_search(requests: DataFrame, manifest: DataFrame, limit: int = 10, hot_rows: int = 1000) -> DataFrame:
+    """Files by name: exact, other case, then token shares over the whole path.
+
+    A token found in more than ``hot_rows`` paths is hot.  Paths that hold a rarer
+    token of the request are scored one by one.  A path that only holds hot tokens
+    has a score that depends on those tokens alone, so such paths are ranked once per
+    distinct set of hot tokens, and only for requests whose list they can still enter.
+    """
+    asked = requests.select("trace_id", "query", _lookup_tokens(F.col("query")).alias("toks")).where(
+        F.get("toks", F.lit(0)) != ""
+    )
+    tokens = asked.select("trace_id", F.explode(F.array_distinct("toks")).alias("token"))
+
+    words = manifest.select(
+        "relative_path", F.explode(F.array_distinct(F.split(F.lower("relative_path"), r"\s+|/"))).alias("term")
+    )
+    frequency = reuse(words.groupBy("term").agg(F.count("*").alias("n")))
+    matched = reuse(containing_terms(tokens.select("token").distinct(), frequency))
+    weight = matched.join(frequency, "term").groupBy("token").agg((F.sum("n") > hot_rows).alias("hot"))
+    hot = weight.where("hot").select("token")
+
+    def paths_of(keyed: DataFrame, key: str) -> DataFrame:
+        """(key, relative_path) for rows (key, token)."""
+        terms = keyed.join(matched, "token").select(key, "term").distinct()
+        return words.join(terms, "term").select(key, "relative_path").distinct()
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return (
+            pairs.join(requests.select("trace_id", "query"), "trace_id")
+            .select(
+                "trace_id", "relative_path", F.round(sc.path_score(F.col("query"), F.col("relative_path")), 3).alias("score")
+            )
+            .where("score > 0")
+        )
+
+    direct = reuse(scored(paths_of(tokens.join(hot, "token", "left_anti"), "trace_id")))
+    filled = rank_by_score(direct, ["trace_id"], limit, tie="relative_path").groupBy("trace_id").agg(
+        F.count("*").alias("found"), F.min("score").alias("worst")
+    )
+    hot_lists = tokens.join(hot, "token", "left_semi").groupBy("trace_id").agg(F.collect_set("token").alias("_hot"))
+    facts = asked.join(hot_lists, "trace_id").join(filled, "trace_id", "left")
+    facts = facts.withColumns(
+        {"hot_toks": F.array_sort(F.filter("toks", lambda t: F.array_contains("_hot", t))), "n": F.size("toks")}
+    )
+    h = F.size("hot_toks")
+    best = F.when(h < F.col("n"), F.round(h / F.col("n") * 3.0 + h * 0.5, 3)).otherwise(float("inf"))
+    short = F.coalesce("found", F.lit(0)) < limit
+    open_lists = facts.where(short | (F.col("worst") <= best)).select(
+        "trace_id", "hot_toks", "n", short.alias("short"), F.when(h == F.col("n"), F.col("query")).alias("whole")
+    )
+    open_lists = reuse(open_lists.withColumn("sig", F.xxhash64("hot_toks", "n", F.coalesce("whole", F.lit("")))))
+
+    sets = open_lists.where("short").groupBy("sig").agg(
+        F.first("hot_toks").alias("hot_toks"), F.first("n").alias("n"), F.first("whole").alias("whole")
+    )
+    by_set = paths_of(sets.select("sig", F.explode(F.array_distinct("hot_toks")).alias("token")), "sig").join(sets, "sig")
+    inside = lambda text: F.size(F.filter("hot_toks", lambda t: text.contains(t)))
+    share = inside(F.lower("relative_path")) / F.col("n") * 3.0 + inside(F.lower(tx.base_name(F.col("relative_path")))) * 0.5
+    by_set = by_set.withColumn(
+        "score",
+        F.round(F.when(F.col("whole").isNull(), share).otherwise(sc.path_score(F.col("whole"), F.col("relative_path"))), 3),
+    )
+    # a short list holds fewer than ``limit`` paths already, so twice the limit is enough
+    fill = rank_by_score(by_set, ["sig"], 2 * limit, tie="relative_path")
+    fill = open_lists.where("short").select("trace_id", "sig").join(fill, "sig").select("trace_id", "relative_path", "score")
+    rest = open_lists.where(~F.col("short")).select("trace_id", F.explode(F.array_distinct("hot_toks")).alias("token"))
+    late = fill.unionByName(scored(paths_of(rest, "trace_id")))
+    late = late.join(direct.select("trace_id", "relative_path"), ["trace_id", "relative_path"], "left_anti")
+    return rank_by_score(direct.unionByName(late), ["trace_id"], limit, tie="relative_path").select(
         "trace_id", "rank", "relative_path", tx.base_name(F.col("relative_path")).alias("file_name"), "score"
     )
 
 
 def cross_corpus_suggest(requests: DataFrame, manifest: DataFrame, min_score: float = 2.0) -> DataFrame:
     """Best other corpus of each request (by its top file score)."""
-    q = F.lower(tx.strip(F.col("query")))
-    toks = tx.tokens(F.col("query"))
     asked = requests.select(
-        "trace_id", F.explode(F.when(F.size(toks) > 0, F.array_distinct(toks)).otherwise(F.array(q))).alias("token")
+        "trace_id", F.explode(F.array_distinct(_lookup_tokens(F.col("query")))).alias("token")
     ).where("token <> ''")
     pairs = _any_token_pairs(asked, manifest, "relative_path", F.split(F.lower("relative_path"), r"\s+|/"))
     scored = (
@@ -596,8 +656,17 @@ def merge_path_matches(
 ) -> DataFrame:
     """Content hits followed by unseen path hits, ordered by document number, cut to ``limit``.
 
-    Both inputs: trace_id, rank, relative_path.  ``numbers``: trace_id, numbers.
+    Both inputs: trace_id, rank, relative_path.  ``numbers``: trace_id, numbers.  When
+    a path hit of a request carries one of its numbers, only such path hits count.
     """
+    numbered = path_hits.join(numbers, "trace_id", "left").withColumn(
+        "_hit",
+        F.coalesce(
+            F.exists("numbers", lambda d: tx.has_doc_number(tx.base_name(F.col("relative_path")), d)), F.lit(False)
+        ),
+    )
+    any_hit = numbered.groupBy("trace_id").agg(F.bool_or("_hit").alias("_any"))
+    path_hits = numbered.join(any_hit, "trace_id").where(F.col("_hit") | ~F.col("_any")).drop("_hit", "_any", "numbers")
     new = path_hits.join(content_hits.select("trace_id", "relative_path"), ["trace_id", "relative_path"], "left_anti")
     cols = ["trace_id", "relative_path", "rank"]
     both = content_hits.select(*cols, F.lit(0).alias("part")).unionByName(

@@ -201,3 +201,18 @@ def test_longest_prefix(spark):
     files = spark.createDataFrame([(1, "/x/y/z.txt"), (2, "/x/yy/z.txt"), (3, "/other"), (4, "/x/y")], "id int, path string")
     got = {r["id"]: r["resolved_folder_id"] for r in se.resolve_folders(files, folders, "id", "path").collect()}
     assert got == {1: "b", 2: "a", 3: None, 4: "b"}
+
+
+def test_path_search_with_hot_tokens(spark):
+    rng = random.Random(5)
+    paths = [f"arc/{rng.choice(['Act', 'plan'])} {i} {rng.choice(['one', 'two', 'six'])}.pdf" for i in range(200)]
+    asks = [("a", "Act 17 two"), ("b", "plan"), ("c", "act plan arc"), ("d", "zzz"), ("e", "two 1"), ("f", "Act 5"), ("g", "pdf arc zzz")]
+    manifest = spark.createDataFrame([(p,) for p in paths], "relative_path string")
+    requests = spark.createDataFrame(asks, "trace_id string, query string")
+    from folioframe.functions import scoring as sc
+
+    pairs = requests.crossJoin(manifest).withColumn("score", F.round(sc.path_score(F.col("query"), F.col("relative_path")), 3))
+    want = rt.rank_by_score(pairs.where("score > 0"), ["trace_id"], 10, tie="relative_path")
+    key = lambda df: sorted((r["trace_id"], r["rank"], r["relative_path"], r["score"]) for r in df.collect())
+    assert key(rt.path_search(requests, manifest, 10, hot_rows=30)) == key(want)
+    assert key(rt.path_search(requests, manifest, 10, hot_rows=5)) == key(want)
