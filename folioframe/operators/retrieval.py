@@ -104,22 +104,37 @@ def required_tokens(requests: DataFrame, chunks: DataFrame, scopes: DataFrame) -
         "trace_id", "scope_id", "query", F.explode(F.array_distinct("asked")).alias("token")
     ).select("trace_id", "scope_id", "token", fence.alias("fence"))
 
-    forms = _token_forms(each)
+    # a token of up to three letters is itself a word part: its frequency is a sum over
+    # parts, without listing the many words that hold it
+    short = (F.length("token") <= 3) & ~F.col("token").rlike("[её]") & ~F.col("fence")
+    short = short & ~F.col("token").isin(list(fx.SCAN_ALIASES))
+    parts = F.explode(_grams(F.col("term"), F.array(F.lit(1), F.lit(2), F.lit(3)))).alias("token")
+    short_cost = (
+        seen.select("scope_id", "n", parts)
+        .join(each.where(short).select("token").distinct(), "token")
+        .groupBy("scope_id", "token")
+        .agg(F.lit(True).alias("present"), F.sum("n").alias("cost"))
+        .withColumn("fence", F.lit(False))
+    )
+
+    forms = _token_forms(each.where(~short))
     matched = containing_terms(
         forms.select(F.col("word").alias("token")).distinct(), folded.select(F.col("folded").alias("term")).distinct()
     ).select(F.col("token").alias("word"), F.col("term").alias("folded"))
     terms = forms.join(matched, "word").join(folded, "folded").select(
         "token", "fence", "term", (F.col("literal") & F.col("term").contains(F.col("form"))).alias("literal")
     )
-    terms = terms.groupBy("token", "fence", "term").agg(F.bool_or("literal").alias("literal"))
+    terms = reuse(terms.groupBy("token", "fence", "term").agg(F.bool_or("literal").alias("literal")))
 
     cost = (
-        each.select("scope_id", "token", "fence")
+        each.where(~short)
+        .select("scope_id", "token", "fence")
         .distinct()
         .join(terms, ["token", "fence"])
         .join(seen, ["scope_id", "term"])
         .groupBy("scope_id", "token", "fence")
         .agg(F.bool_or("literal").alias("present"), F.sum("n").alias("cost"))
+        .unionByName(short_cost)
     )
     key = F.struct("cost", F.struct("token", "fence").alias("anchor"))
     per_request = (
@@ -150,6 +165,12 @@ def required_tokens(requests: DataFrame, chunks: DataFrame, scopes: DataFrame) -
     out = reuse(out)
     used = out.where(F.col("anchor").isNotNull()).select("anchor").distinct()
     anchors = terms.select(F.struct("token", "fence").alias("anchor"), "term").join(used, "anchor", "left_semi")
+    short_used = used.select("anchor.token", "anchor.fence").where(short)
+    if not short_used.isEmpty():  # requests made of short tokens only
+        found = containing_terms(short_used.select("token"), folded.select("term"))
+        anchors = anchors.unionByName(
+            found.select(F.struct("token", F.lit(False).alias("fence")).alias("anchor"), "term")
+        )
     return out, reuse(anchors)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioframe.operators import chunking as ch
 from folioframe.operators import security as se
+from folioframe.session import spread
 
 LATIN = "[a-zA-ZÀ-ÿ]"
 AS_OF = "2025-09-10"
@@ -91,7 +92,7 @@ SECURITY_COLS = ["company_id", "project_id", "contractor_id", "department_id", "
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).drop("n_chars")
+    docs = spread(documents(spark, sf_dir).drop("n_chars"), "doc_id")
     return ch.build_chunks(docs).withColumn("label_id", se.label_id())
 
 

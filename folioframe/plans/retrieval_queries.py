@@ -689,7 +689,7 @@ def doc_profile_select(spark, sf):
        px AS (SELECT trace_id, q, source_relative_path AS relative_path, round({sql_path_score('q', 'source_relative_path')}, 3) AS score FROM nq, docs),
        p0 AS (SELECT trace_id, relative_path, rank, length(trace_id) >= 2 AND regexp_matches(regexp_extract(relative_path, '[^/]*$'), '(№|#|^|[^a-zA-Z0-9_])' || trace_id || '([^a-zA-Z0-9]|$)') AS hit
               FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY score DESC, relative_path) AS rank FROM px WHERE score > 0) WHERE rank <= 12),
-       pt AS (SELECT * FROM (SELECT *, bool_or(hit) OVER (PARTITION BY trace_id) AS some FROM p0) WHERE hit OR NOT some),
+       pt AS (SELECT * FROM (SELECT *, bool_or(hit) OVER (PARTITION BY trace_id) AS any_hit FROM p0) WHERE hit OR NOT any_hit),
        un AS (SELECT trace_id, relative_path, rank, 0 AS part FROM ct
               UNION ALL SELECT p.trace_id, p.relative_path, p.rank, 1 FROM pt p LEFT JOIN ct USING (trace_id, relative_path) WHERE ct.rank IS NULL),
        sc AS (SELECT *, regexp_extract(relative_path, '[^/]*$') || ' ' || relative_path AS nm FROM un),

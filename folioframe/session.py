@@ -41,3 +41,12 @@ def reuse(df: DataFrame) -> DataFrame:
     path = new_folder(spark, "reuse")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores for a frame that comes in fewer partitions than there are.
+
+    A large input already has more partitions than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -216,3 +216,10 @@ def test_path_search_with_hot_tokens(spark):
     key = lambda df: sorted((r["trace_id"], r["rank"], r["relative_path"], r["score"]) for r in df.collect())
     assert key(rt.path_search(requests, manifest, 10, hot_rows=30)) == key(want)
     assert key(rt.path_search(requests, manifest, 10, hot_rows=5)) == key(want)
+
+
+def test_short_tokens_find_their_chunks(spark):
+    chunks, scopes = _corpus(spark, ["акт о сдаче", "тракт дорог", "план", "об акте"])
+    asks = spark.createDataFrame([("a", "акт", 0), ("b", "ак об", 0), ("c", "зз план", 0)], "trace_id string, query string, scope_id bigint")
+    got = {(r["trace_id"], r["chunk_id"], r["score"]) for r in rt.keyword_matches(asks, chunks, scopes).collect()}
+    assert got == {("a", "c0", 1.0), ("a", "c1", 1.0), ("a", "c3", 1.0), ("b", "c3", 0.88), ("c", "c2", 0.4)}
