@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm import exact_dedup as ex
+from folioframe.llm import line_dedup as ld
 from folioframe.llm.registry import register
 
 
@@ -28,3 +29,45 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("text_sha256", ex.text_digest(F.col("text")))
     return ex.exact_dedup(docs, carry=["text_sha256"])
+
+
+@register(
+    "op7_line_dedup",
+    """
+    WITH raw AS (
+      SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS body FROM documents),
+    cut AS (
+      SELECT doc_id, unnest(body) AS line, unnest(range(len(body))) AS n FROM raw),
+    rows AS (
+      SELECT doc_id, n, line, translate(trim(line, ' ' || chr(9) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+      FROM cut),
+    part AS (SELECT doc_id, n, t FROM rows WHERE length(t) >= 20),
+    uniq AS (
+      SELECT t, length(t) AS c, min(doc_id * 10000000 + n) AS first FROM part GROUP BY t),
+    halves AS (
+      SELECT t, c, first, m, 'a' || left(t, m // 2) AS k FROM (SELECT *, c AS m FROM uniq UNION ALL SELECT *, c + 1 AS m FROM uniq)
+      UNION ALL
+      SELECT t, c, first, m, 'b' || right(t, m - m // 2) AS k FROM (SELECT *, c AS m FROM uniq UNION ALL SELECT *, c + 1 AS m FROM uniq)),
+    pairs AS (
+      SELECT DISTINCT a.t AS a, b.t AS b, a.c AS ac, b.c AS bc, a.first AS af, b.first AS bf
+      FROM halves a JOIN halves b ON a.m = b.m AND a.k = b.k AND a.t <> b.t AND a.c = a.m),
+    near AS (
+      SELECT CASE WHEN af > bf THEN a ELSE b END AS t FROM pairs
+      WHERE len(list_filter(range(1, ac + 1), lambda i: left(a, i - 1) || substr(a, i + 1) =
+            CASE WHEN bc = ac THEN left(b, i - 1) || substr(b, i + 1) ELSE b END
+            AND (bc < ac OR (left(a, i - 1) = left(b, i - 1)))) ) > 0),
+    gone AS (
+      SELECT p.doc_id, p.n FROM part p JOIN uniq u ON p.t = u.t
+      WHERE p.doc_id * 10000000 + p.n <> u.first OR p.t IN (SELECT t FROM near)),
+    marked AS (
+      SELECT r.doc_id, r.n, r.line, g.n IS NOT NULL AS gone FROM rows r LEFT JOIN gone g ON r.doc_id = g.doc_id AND r.n = g.n)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id
+    """,
+)
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    counts = [F.col(c).cast("long").alias(n) for c, n in (("lines_total", "n_lines"), ("lines_removed", "n_removed"))]
+    return ld.line_dedup(docs).select("doc_id", *counts, digest.alias("kept_sha256"))
