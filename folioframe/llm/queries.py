@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioframe.llm import exact_dedup as ex
 from folioframe.llm import line_dedup as ld
+from folioframe.llm import ngram_join as nj
 from folioframe.llm.registry import register
 
 
@@ -71,3 +72,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     counts = [F.col(c).cast("long").alias(n) for c, n in (("lines_total", "n_lines"), ("lines_removed", "n_removed"))]
     return ld.line_dedup(docs).select("doc_id", *counts, digest.alias("kept_sha256"))
+
+
+@register("op2_ngram_jaccard_join")
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nj.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)
