@@ -118,7 +118,9 @@ def _earlier_partners(lines: DataFrame) -> DataFrame:
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    """(_id, _text, then the other columns under names that cannot clash)."""
+    others = [F.col(c).alias(f"_x{i}") for i, c in enumerate(docs.columns) if c not in (id_col, text_col)]
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *others)
 
 
 def repeated_lines(
@@ -136,7 +138,10 @@ def repeated_lines(
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    base = _prepared(docs, id_col, text_col)
+    return _repeated(_prepared(docs, id_col, text_col), max_edits, min_chars).withColumnRenamed("_id", id_col)
+
+
+def _repeated(base: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
     lines = _lines(base, min_chars)
     distinct = lines.groupBy("_h1", "_h2").agg(
         F.min(F.struct("_id", "_n")).alias("_at"),
@@ -152,7 +157,7 @@ def repeated_lines(
         verdict = distinct.where("_again").select("_h1", "_h2", "_at", F.lit(None).cast("boolean").alias("_near"))
     places = lines.select("_id", "_n", "_h1", "_h2").join(verdict, ["_h1", "_h2"])
     gone = places.where(F.coalesce("_near", F.lit(False)) | (F.struct("_id", "_n") != F.col("_at")))
-    return gone.groupBy(F.col("_id").alias(id_col)).agg(F.collect_set("_n").alias("removed"))
+    return gone.groupBy("_id").agg(F.collect_set("_n").alias("removed"))
 
 
 def line_dedup(
@@ -160,21 +165,21 @@ def line_dedup(
 ) -> DataFrame:
     """``docs`` with the repeated lines taken out of the text; see :func:`repeated_lines`.
 
-    All rows and columns stay (a column ``_removed`` is replaced); a text that loses
-    all its lines is empty, a null text stays null.  Adds ``lines_total`` and
-    ``lines_removed``.
+    All rows and columns stay (``lines_total`` and ``lines_removed`` are replaced or
+    added).  A text that loses all its lines is empty, a null text stays null.
     """
-    gone = repeated_lines(docs, id_col, text_col, max_edits, min_chars)
-    gone = gone.select(F.col(id_col).alias("_gone_id"), F.col("removed").alias("_removed"))
-    out = docs.drop("_removed", "lines_total", "lines_removed").join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")), "left")
-    kept = F.array_join(
-        F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n"
-    )
-    out = out.withColumns(
-        {
-            text_col: F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(kept),
-            "lines_total": F.size(F.split(F.coalesce(text_col, F.lit("")), "\n")),
-            "lines_removed": F.when(F.col("_removed").isNull(), 0).otherwise(F.size("_removed")),
-        }
+    if max_edits not in (0, 1):
+        raise ValueError("max_edits is 0 or 1")
+    docs = docs.drop("lines_total", "lines_removed")
+    base = _prepared(docs, id_col, text_col)
+    gone = _repeated(base, max_edits, min_chars).select(F.col("_id").alias("_d"), "removed")
+    # the same exchange of (_id, _text) serves the texts of candidate lines and this join
+    out = base.join(gone, F.col("_id").eqNullSafe(F.col("_d")), "left")
+    kept = F.filter(F.split("_text", "\n"), lambda x, i: ~F.array_contains(F.col("removed"), i))
+    names = {c: f"_x{i}" for i, c in enumerate(docs.columns)} | {id_col: "_id"}
+    changed = F.when(F.col("removed").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    return out.select(
+        *[(changed if c == text_col else F.col(names[c])).alias(c) for c in docs.columns],
+        F.size(F.split(F.coalesce("_text", F.lit("")), "\n")).alias("lines_total"),
+        F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).alias("lines_removed"),
     )
-    return out.drop("_gone_id", "_removed")
