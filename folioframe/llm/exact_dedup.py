@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.llm.common import ascii_lower
@@ -17,9 +15,9 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     normalise=ascii_lower,
-    carry: Sequence[str] = (),
+    with_digest: bool = False,
 ) -> DataFrame:
-    """One row per input row: id, ``carry``, keep_id, group_size, kept.
+    """One row per input row: id, keep_id, group_size, kept; on request text_sha256.
 
     Texts are equal when ``normalise`` makes them identical; of equal texts the row
     with the largest id stays.
@@ -28,37 +26,37 @@ def exact_dedup(
     characters, both on narrow rows.  Only rows whose group still has company are
     hashed in full: their text travels once, keyed by the unique id, so that a group
     with a third of all rows is dealt evenly.  Level 3 groups (length, SHA-256).
+    ``with_digest`` asks for the hash of the other rows too; it is taken in the scan.
 
     A null text counts as empty.  Of repeated rows with one id, one stays.  A null id
     is smaller than any other.  Other columns are ignored, so their names cannot clash.
     An empty table gives an empty result.
     """
     text = normalise(F.coalesce(F.col(text_col), F.lit("")))
-    extra = [F.col(c).alias(f"_x{i}") for i, c in enumerate(carry)]
-    names = [f"_x{i}" for i in range(len(carry))]
     # the normalised text has the byte length of the given one only if normalise keeps it
     size = F.octet_length(text if normalise is not ascii_lower else F.coalesce(F.col(text_col), F.lit("")))
     head = F.xxhash64(normalise(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, PREFIX)))
 
-    keys = docs.select(F.col(id_col).alias("_id"), size.alias("_len"), head.alias("_head"), *extra)
-    levels = keys.select("_id", "_len", "_head")
+    levels = docs.select(F.col(id_col).alias("_id"), size.alias("_len"), head.alias("_head"))
     by_len = _many(levels.groupBy("_len"))
     by_head = _many(levels.join(by_len, "_len", "left_semi").groupBy("_len", "_head"))
     left = levels.join(by_head, ["_len", "_head"], "left_semi").select(F.col("_id").alias("_survivor"))
     same = F.col("_id").eqNullSafe(F.col("_survivor"))
 
-    full = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), *extra).join(left, same, "left_semi")
-    full = full.select("_id", F.octet_length("_text").alias("_len"), F.sha2("_text", 256).alias("_sha"), *names)
+    full = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(left, same, "left_semi")
+    full = full.select("_id", F.octet_length("_text").alias("_len"), F.sha2("_text", 256).alias("_sha"))
     groups = full.groupBy("_len", "_sha").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
     one = Window.partitionBy("_len", "_sha", "_id").orderBy("_id")
     found = full.withColumn("_n", F.row_number().over(one)).join(groups, ["_len", "_sha"])
     kept = F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_n") == 1)
 
-    rest = keys.join(left, same, "left_anti")
-    out = found.select("_id", *names, "keep_id", "group_size", kept.alias("kept")).unionByName(
-        rest.select("_id", *names, F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    rest = docs.select(F.col(id_col).alias("_id"), (F.sha2(text, 256) if with_digest else F.lit(None)).alias("_sha"))
+    rest = rest.join(left, same, "left_anti")
+    out = found.select("_id", "_sha", "keep_id", "group_size", kept.alias("kept")).unionByName(
+        rest.select("_id", "_sha", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     )
-    return out.select(F.col("_id").alias(id_col), *[F.col(n).alias(c) for n, c in zip(names, carry)], "keep_id", "group_size", "kept")
+    digest = [F.col("_sha").alias("text_sha256")] if with_digest else []
+    return out.select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", *digest)
 
 
 def _many(grouped) -> DataFrame:
@@ -69,8 +67,3 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows that stay, with all their columns."""
     gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone"))
     return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
-
-
-def text_digest(text: Column) -> Column:
-    """Lower-case hex SHA-256 of the normalised text in UTF-8."""
-    return F.sha2(ascii_lower(F.coalesce(text, F.lit(""))), 256)

@@ -27,9 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """,
 )
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = docs.withColumn("text_sha256", ex.text_digest(F.col("text")))
-    return ex.exact_dedup(docs, carry=["text_sha256"])
+    return ex.exact_dedup(table(spark, sf_dir, "documents"), with_digest=True)
 
 
 @register(
