@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm import exact_dedup as ex
+from folioframe.llm import language_id as li
 from folioframe.llm import line_dedup as ld
+from folioframe.llm import mixing as mx
 from folioframe.llm import ngram_join as nj
+from folioframe.llm import packing as pk
+from folioframe.llm import secrets as sx
+from folioframe.llm import token_output as to
 from folioframe.llm.registry import register
 
 
@@ -75,3 +80,54 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_ngram_jaccard_join")
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nj.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)
+
+
+@register("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return li.identify(table(spark, sf_dir, "documents"))
+
+
+#: Wanted shares of tokens per domain.
+WEIGHTS = {"clean": 0.94, "low": 0.04, "toxic": 0.02}
+
+
+@register("op9_mixing_rates")
+def op9_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mx.label_domains(table(spark, sf_dir, "labels"))
+    out = mx.mix(table(spark, sf_dir, "documents"), labels, WEIGHTS)
+    shares = [F.round(F.col("posterior")[k], 6).alias(f"p_{d}") for k, d in enumerate(WEIGHTS)]
+    return out.select("doc_id", "tokens", *shares, "domain", F.round("rate", 6).alias("rate"))
+
+
+#: Characters that a bin holds.
+CAPACITY = 8192
+
+
+@register("op6_best_fit_packing")
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pk.pack(pk.with_copies(docs), CAPACITY)
+
+
+@register("op3_token_output")
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        vocabulary = f.read()
+    return to.read_back(to.write_token_files(table(spark, sf_dir, "documents"), vocabulary))
+
+
+@register("op10_secret_scan")
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = sx.find_secrets(docs, sx.infer(docs))
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in sx.KINDS],
+        F.sha2(shown("base"), 256).alias("base_sha256"),
+        shown("spans").alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_format"),
+    )
