@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioframe.llm import ann
 from folioframe.llm import exact_dedup as ex
 from folioframe.llm import language_id as li
 from folioframe.llm import line_dedup as ld
@@ -12,6 +13,7 @@ from folioframe.llm import mixing as mx
 from folioframe.llm import ngram_join as nj
 from folioframe.llm import packing as pk
 from folioframe.llm import secrets as sx
+from folioframe.llm import suffix_dedup as sd
 from folioframe.llm import token_output as to
 from folioframe.llm.registry import register
 
@@ -131,3 +133,22 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         shown("spans").alias("spans"),
         (F.size("spans") - F.size("base")).cast("long").alias("n_format"),
     )
+
+
+@register("op4_approximate_nearest")
+def op4_approximate_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors.where(F.col("vec_id") % 50 == 0), vectors, 5)
+
+
+@register("op8_suffix_array_dedup")
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sd.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
