@@ -246,3 +246,6 @@ BM25_K1 = 1.5
 BM25_B = 0.75
 BM25_EPSILON = 0.25
 RRF_K = 60
+
+# --- characters that UTF-8 Cyrillic leaves behind when it is read in another code ----------
+MOJIBAKE_MARKS = ["Р", "С", "Ð", "Ñ"]

@@ -2,122 +2,141 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioframe import fixed_values as fx
 from folioframe.functions import text as tx
 
+_SAME = "\u0001"  # stands for a word that both texts have
 
-def _changed_words(raw: str, fixed: str) -> list[tuple[str, str]]:
-    a, b = (raw or "").split(), (fixed or "").split()
-    blocks = SequenceMatcher(None, a, b).get_opcodes()
-    pairs = [(" ".join(a[i:j]), " ".join(b[k:m])) for kind, i, j, k, m in blocks if kind == "replace"]
-    return [(w, r) for w, r in pairs if len(r) >= 2 and w.lower() != r.lower()]
 
+def _words(c: Column) -> Column:
+    return F.split(tx.squeeze(c), " ")
 
-def mine_pairs(corrections: DataFrame, raw: str = "raw_text", fixed: str = "corrected_text") -> DataFrame:
-    """(wrong, replacement) word runs that differ, one row each."""
 
-    def diff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [p for r, f in zip(pdf["r"], pdf["f"]) for p in _changed_words(r, f)]
-            yield pd.DataFrame(found, columns=["wrong", "replacement"])
+def _differing_runs(a: Column, b: Column) -> Column:
+    """Pairs of word runs that differ, of two arrays of one length compared place by place."""
+    at = F.sequence(F.lit(0), F.size(a) - 1)
 
-    pairs = corrections.select(tx.strip(F.col(raw)).alias("r"), tx.strip(F.col(fixed)).alias("f"))
-    pairs = pairs.where((F.col("r") != "") & (F.col("f") != "") & (F.col("r") != F.col("f")))
-    return pairs.mapInPandas(diff, "wrong string, replacement string")
+    def runs(own: Column, other: Column) -> Column:
+        marked = F.transform(at, lambda i: F.when(own[i] == other[i], F.lit(_SAME)).otherwise(own[i]))
+        return F.filter(F.split(F.array_join(marked, " "), f" ?{_SAME}[{_SAME} ]*"), lambda s: s != "")
 
+    return F.arrays_zip(runs(a, b).alias("wrong"), runs(b, a).alias("replacement"))
 
-def rule_counts(pairs: DataFrame, keep: int = 500) -> DataFrame:
-    """Occurrences per rule; the most frequent ones are kept (a feature of the store)."""
-    counted = pairs.groupBy("wrong", "replacement").agg(F.count("*").alias("count"))
-    return counted.orderBy(F.desc("count"), "wrong", "replacement").limit(keep)
 
+def mine_pairs(corrections: DataFrame, raw: str = "raw_text", fixed: str = "corrected_text") -> DataFrame:
+    """(wrong, replacement) word runs that differ, one row per occurrence.
 
-def learned_pattern(wrong: Column) -> Column:
-    """Regex of a rule: a whole word, or words with any white space between."""
-    words = F.filter(F.split(tx.strip(wrong), r"(?U)\s+"), lambda w: w != "")
-    quoted = F.transform(words, lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
-    return F.when(F.size(words) == 1, F.concat(F.lit(r"\b"), quoted[0], F.lit(r"\b"))).otherwise(
-        F.array_join(quoted, r"\s+")
+    Words that stand once in each of the two texts, in the same order, are anchors; they
+    cut both into segments.  Segments of one length are compared word by word, others
+    are a rule as a whole.  A rule has a replacement of two characters at least and
+    changes more than the case.
+    """
+    rows = corrections.select(tx.strip(F.col(raw)).alias("r"), tx.strip(F.col(fixed)).alias("f"))
+    rows = rows.where((F.col("r") != "") & (F.col("f") != "") & (F.col("r") != F.col("f")))
+    rows = rows.groupBy("r", "f").agg(F.count("*").alias("n")).withColumn("id", F.sha2(F.concat_ws("\u0000", "r", "f"), 256))
+    rows = rows.select("id", "n", _words(F.col("r")).alias("a"), _words(F.col("f")).alias("b"))
+
+    def once(side: str, place: str) -> DataFrame:
+        words = rows.select("id", F.posexplode(side).alias(place, "w"))
+        return words.groupBy("id", "w").agg(F.count("*").alias("c"), F.min(place).alias(place)).where("c = 1").drop("c")
+
+    met = once("a", "i").join(once("b", "j"), ["id", "w"]).drop("w")
+    earlier = Window.partitionBy("id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    met = met.withColumn("top", F.max("j").over(earlier)).where("top is null or j > top").drop("top")
+    ends = rows.select("id", F.size("a").alias("i"), F.size("b").alias("j"))
+    cuts = met.unionByName(ends)
+    order = Window.partitionBy("id").orderBy("i")
+    before = lambda c: F.coalesce(F.lag(c).over(order), F.lit(-1)) + 1
+    cuts = cuts.withColumns({"i0": before("i"), "j0": before("j")}).where("i > i0 and j > j0")
+    parts = cuts.join(rows, "id").select(
+        "n", F.expr("slice(a, i0 + 1, i - i0)").alias("x"), F.expr("slice(b, j0 + 1, j - j0)").alias("y")
     )
+    whole = F.array(F.struct(F.array_join("x", " ").alias("wrong"), F.array_join("y", " ").alias("replacement")))
+    pairs = F.when(F.size("x") == F.size("y"), _differing_runs(F.col("x"), F.col("y"))).otherwise(whole)
+    rules = parts.select("n", F.explode(pairs).alias("p")).select("n", "p.*")
+    rules = rules.where((F.length("replacement") >= 2) & (F.lower("wrong") != F.lower("replacement")))
+    return rules.select(F.explode(F.expr("array_repeat(struct(wrong, replacement), int(n))")).alias("p")).select("p.*")
 
 
-def apply_rules(texts: DataFrame, rules: list[tuple[str, str]], col: str = "text") -> DataFrame:
-    """Apply learned rules (a capped list), longest first, to each text.
+def rule_counts(pairs: DataFrame, keep: int | None = None) -> DataFrame:
+    """Occurrences per rule; ``keep`` limits the result to the most frequent ones."""
+    counted = pairs.groupBy("wrong", "replacement").agg(F.count("*").alias("count"))
+    return counted if keep is None else counted.orderBy(F.desc("count"), "wrong", "replacement").limit(keep)
 
-    The rule list is at most a few hundred entries by construction, so it travels
-    with the function; texts are processed in Arrow batches.
-    """
-    compiled = []
-    for wrong, right in sorted(rules, key=lambda r: len(r[0]), reverse=True):
-        words = [re.escape(w) for w in wrong.split()]
-        if words and right:
-            compiled.append((rf"\b{words[0]}\b" if len(words) == 1 else r"\s+".join(words), right))
 
-    @F.pandas_udf(T.StringType())
-    def fix(batch: pd.Series) -> pd.Series:
-        regexes = [(re.compile(p, re.I), r) for p, r in compiled]
+def learned_pattern(wrong: str) -> str:
+    """Regex of a rule: a whole word, or words with any white space between."""
+    words = [rf"\Q{w}\E" for w in wrong.split()]
+    return rf"(?iuU)\b{words[0]}\b" if len(words) == 1 else r"(?iuU)" + r"\s+".join(words)
 
-        def one(text: str | None) -> str | None:
-            if text is None or not text.strip():
-                return text
-            for rx, right in regexes:
-                text = rx.sub(right, text)
-            return " ".join(text.split())
 
-        return batch.map(one)
+def apply_rules(texts: DataFrame, rules: list[tuple[str, str]], col: str = "text") -> DataFrame:
+    """Apply learned rules, longest first, to each text, and fold its white space.
 
-    return texts.withColumn(col, fix(F.col(col)))
+    Rules without words or without a replacement are left out; blank texts stay as they are.
+    """
+    out = F.col(col)
+    for wrong, right in sorted(rules, key=lambda r: -len(r[0])):
+        if wrong.split() and right:
+            literal = right.replace("\\", r"\\").replace("$", r"\$")
+            out = F.regexp_replace(out, learned_pattern(wrong), literal)
+    blank = F.col(col).isNull() | (tx.strip(F.col(col)) == "")
+    return texts.withColumn(col, F.when(blank, F.col(col)).otherwise(tx.squeeze(out)))
 
 
 @F.pandas_udf(T.StringType())
 def fold_unicode(batch: pd.Series) -> pd.Series:
-    """Compatibility composition (NFKC)."""
-    return batch.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    """Compatibility composition, for which Spark has no function."""
+    return batch.str.normalize("NFKC")
 
 
-_BAD = "РСÐÑ"
+# --- text read in the wrong code ------------------------------------------------------------
 
 
-def _repair(text: str | None) -> str | None:
-    if not text or sum(text.count(m) for m in _BAD) < 3:
-        return text
+def _high_characters(code: str) -> tuple[str, str]:
+    """The characters of a one-byte code above ASCII, and those with the same number in latin-1."""
+    pairs = [(bytes([i]).decode(code, "replace"), chr(i)) for i in range(128, 256)]
+    return tuple("".join(side) for side in zip(*[p for p in pairs if p[0] != "�"]))
 
-    def score(t: str) -> int:
-        letters = sum("А" <= ch <= "я" or ch in "ёЁ" for ch in t)
-        return letters - 2 * sum(t.count(m) for m in _BAD)
 
-    best = text
-    for charset in ("cp1251", "latin1"):
-        try:
-            fixed = text.encode(charset).decode("utf-8")
-        except UnicodeError:
-            continue
-        if score(fixed) > score(best):
-            best = fixed
-    return best
+def _read_again(text: Column, code: str) -> Column:
+    """The bytes that ``code`` gives for a text, read as UTF-8; null where either is impossible."""
+    own, same = _high_characters(code)
+    fits = F.translate(F.regexp_replace(text, r"[\x00-\x7F]+", ""), own, "") == ""
+    raw = F.encode(F.translate(F.when(fits, text), own, same), "ISO-8859-1").cast("string")
+    return F.when(F.is_valid_utf8(raw), raw)
 
 
-@F.pandas_udf(T.StringType())
-def repair_mojibake(batch: pd.Series) -> pd.Series:
-    """Undo UTF-8 text that was read as cp1251 or latin-1, when that scores better."""
-    return batch.map(_repair)
+def repair_mojibake(text: Column) -> Column:
+    """Undo UTF-8 text that was read as cp1251 or latin-1, when that looks more like text.
 
+    A reading counts its Cyrillic letters, less two for each character that such damage
+    leaves behind; a text with fewer than three of those is left alone.
+    """
+    marks = F.lit("[" + "".join(fx.MOJIBAKE_MARKS) + "]")
+    rank = lambda t: F.regexp_count(t, F.lit("[А-яЁё]")) - 2 * F.regexp_count(t, marks)
+    best = text
+    for code in ("cp1251", "latin-1"):
+        other = _read_again(text, code)
+        best = F.when(rank(other) > rank(best), other).otherwise(best)
+    return F.when(F.regexp_count(text, marks) >= 3, best).otherwise(text)
 
-def latest_feedback(events: DataFrame, keep: int = 2000) -> DataFrame:
-    """Newest feedback events, blank ones dropped, previous answers cut to 2000 characters."""
-    body = tx.strip(F.coalesce("feedback", F.lit("")))
-    rows = events.where(body != "").withColumns(
-        {"feedback": body, "previous_answer": F.substring(F.coalesce("previous_answer", F.lit("")), 1, 2000)}
-    )
-    return rows.orderBy(F.desc("at"), F.desc("event_id")).limit(keep)
 
+def latest_feedback(events: DataFrame, keep: int | None = None, answer_chars: int | None = None) -> DataFrame:
+    """Feedback events that are not blank, newest first.
 
+    ``keep`` and ``answer_chars`` are the limits of a store: rows, and characters of the
+    previous answer.
+    """
+    body = tx.strip(F.coalesce("feedback", F.lit("")))
+    answer = F.coalesce("previous_answer", F.lit(""))
+    if answer_chars is not None:
+        answer = F.substring(answer, 1, answer_chars)
+    rows = events.where(body != "").withColumns({"feedback": body, "previous_answer": answer})
+    rows = rows.orderBy(F.desc("at"), F.desc("event_id"))
+    return rows if keep is None else rows.limit(keep)

@@ -212,6 +212,32 @@ def phrase_candidates(requests: DataFrame, chunks: DataFrame, scopes: DataFrame)
     )
 
 
+def token_tested(asked: DataFrame, anchor_terms: DataFrame, chunks: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Visible (request, chunk) pairs with their text that hold all required tokens."""
+    # materialised, so that its true size decides how the text is joined: a small set
+    # is broadcast and the text is not shuffled
+    pairs = reuse(candidates(asked, anchor_terms, chunks, scopes))
+    rows = pairs.join(asked.select("trace_id", "query", "tokens", "required"), "trace_id").join(chunks, "chunk_id")
+    # the text of candidates only is analysed
+    rows = rows.withColumn("_lemmas", F.array_distinct(tx.lemmas(F.col("content"))))
+    must_lemmas = tx.lemmas(F.concat_ws(" ", "required"))
+    ok = ~_needs_all() | tx.all_tokens_in_text(F.col("required"), must_lemmas, F.col("content"), F.col("_lemmas"))
+    return rows.where(ok)
+
+
+def _needs_all() -> Column:
+    return (F.size("required") >= 1) & (F.size("tokens") >= 2)
+
+
+def _keyword_scores(tested: DataFrame, literal_only: bool) -> DataFrame:
+    if literal_only:
+        tested = tested.where(tx.literal_prefilter(F.col("query"), F.col("content")))
+    scored = tested.withColumn(
+        "score", F.round(sc.match_score(F.col("query"), F.col("content"), F.col("_lemmas")), 6)
+    )
+    return scored.where("score > 0").drop("_lemmas", "tokens")
+
+
 def keyword_matches(
     requests: DataFrame,
     chunks: DataFrame,
@@ -221,26 +247,11 @@ def keyword_matches(
 ) -> DataFrame:
     """Scored (request, chunk) pairs that hold all required tokens.
 
-    The token test runs before the pool is cut, so no match is lost to the cut.
     ``literal_only`` also demands the literal prefilter of the full-text scan.
     ``analysed`` passes on the outcome of :func:`required_tokens`.
     """
     asked, anchor_terms = analysed or required_tokens(requests, chunks, scopes)
-    # materialised, so that its true size decides how the text is joined: a small set
-    # is broadcast and the text is not shuffled
-    pairs = reuse(candidates(asked, anchor_terms, chunks, scopes))
-    rows = pairs.join(asked.select("trace_id", "query", "tokens", "required"), "trace_id").join(
-        chunks.withColumn("_lemmas", F.array_distinct(tx.lemmas(F.col("content")))), "chunk_id"
-    )
-    need_all = (F.size("required") >= 1) & (F.size("tokens") >= 2)
-    must_lemmas = tx.lemmas(F.concat_ws(" ", "required"))
-    ok = ~need_all | tx.all_tokens_in_text(F.col("required"), must_lemmas, F.col("content"), F.col("_lemmas"))
-    if literal_only:
-        ok = tx.literal_prefilter(F.col("query"), F.col("content")) & ok
-    scored = rows.where(ok).withColumn(
-        "score", F.round(sc.match_score(F.col("query"), F.col("content"), F.col("_lemmas")), 6)
-    )
-    return scored.where("score > 0").drop("_lemmas", "tokens")
+    return _keyword_scores(token_tested(asked, anchor_terms, chunks, scopes), literal_only)
 
 
 def rank_by_score(df: DataFrame, group: list[str], k: int | None = None, score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -334,23 +345,19 @@ def rrf(ranked: DataFrame, group: list[str], top_k: int | None = None, k: int =
 
 
 def fulltext_hybrid(requests: DataFrame, chunks: DataFrame, scopes: DataFrame, pool: int = 64) -> DataFrame:
-    """Keyword ranking and BM25 (cut to the pool, then token-filtered), fused by rank."""
-    analysed = required_tokens(requests, chunks, scopes)
-    asked = analysed[0]
-    keyword = rank_by_score(keyword_matches(requests, chunks, scopes, True, analysed), ["trace_id"], pool)
-    need_all = (F.size("required") >= 1) & (F.size("tokens") >= 2)
-    must_lemmas = tx.lemmas(F.concat_ws(" ", "required"))
-    best = (
-        bm25(requests, chunks, scopes, pool)
-        .join(asked.select("trace_id", "tokens", "required"), "trace_id")
-        .join(chunks.select("chunk_id", "content"), "chunk_id")
-        .where(
-            ~need_all
-            | tx.all_tokens_in_text(F.col("required"), must_lemmas, F.col("content"), tx.lemmas(F.col("content")))
-        )
-    )
-    w = Window.partitionBy("trace_id").orderBy("bm25_rank")
-    best = best.withColumnRenamed("rank", "bm25_rank").withColumn("rank", F.row_number().over(w))
+    """Keyword ranking and BM25, fused by rank.
+
+    The token test comes first: both lists are ranked and cut to ``pool`` among chunks
+    that pass it, so no match is lost because chunks that fail it rank higher.
+    """
+    asked, anchor_terms = required_tokens(requests, chunks, scopes)
+    tested = token_tested(asked, anchor_terms, chunks, scopes)
+    keyword = rank_by_score(_keyword_scores(tested, True), ["trace_id"], pool)
+    scores = bm25(requests, chunks, scopes).drop("rank")
+    passed = tested.select("trace_id", "chunk_id").distinct().withColumn("_passed", F.lit(True))
+    free = asked.select("trace_id", (~_needs_all()).alias("_free"))
+    kept = scores.join(free, "trace_id").join(passed, ["trace_id", "chunk_id"], "left").where("_free or _passed")
+    best = rank_by_score(kept, ["trace_id"], pool)
     lists = keyword.select("trace_id", "chunk_id", "rank").unionByName(best.select("trace_id", "chunk_id", "rank"))
     return rrf(lists, ["trace_id"], pool)
 
@@ -358,13 +365,9 @@ def fulltext_hybrid(requests: DataFrame, chunks: DataFrame, scopes: DataFrame, p
 # --- the request -> results operator -----------------------------------------------------
 
 
-def rag_search(
-    requests: DataFrame, chunks: DataFrame, scopes: DataFrame, top_k: int = 8, pool: int | None = None
-) -> DataFrame:
+def rag_search(requests: DataFrame, chunks: DataFrame, scopes: DataFrame, top_k: int = 8) -> DataFrame:
     """Ranked results: trace_id, rank, chunk_id, doc_id, score, snippet."""
-    pool = pool or max(top_k * 4, top_k)
-    pooled = rank_by_score(keyword_matches(requests, chunks, scopes), ["trace_id"], pool)
-    return pooled.where(F.col("rank") <= top_k).select(
+    return rank_by_score(keyword_matches(requests, chunks, scopes), ["trace_id"], top_k).select(
         "trace_id",
         "rank",
         "chunk_id",

@@ -58,8 +58,11 @@ def department_allowed(scope: Column, user_dept: Column, dept_tree: Column, chun
 
 
 def label_id() -> Column:
-    """Stable id of a row's security label."""
-    return F.xxhash64(*[F.coalesce(F.col(c), F.lit("\u0001")) for c in LABEL_COLS])
+    """Stable id of a row's security label: a cryptographic hash, as it decides who may read.
+
+    JSON keeps the fields apart and a missing one apart from an empty one.
+    """
+    return F.sha2(F.to_json(F.array(*[F.col(c).cast("string") for c in LABEL_COLS])), 256)
 
 
 def labels_of(chunks: DataFrame) -> DataFrame:
@@ -196,10 +199,14 @@ def visibility_scopes(access: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Returns (employee_id, scope_id) and (scope_id, label_id).
     """
-    sets = access.groupBy("employee_id").agg(F.sort_array(F.collect_set("label_id")).alias("label_ids"))
-    sets = sets.withColumn("scope_id", F.xxhash64(F.col("label_ids")))
-    by_user = sets.select("employee_id", "scope_id")
-    by_label = sets.dropDuplicates(["scope_id"]).select("scope_id", F.explode("label_ids").alias("label_id"))
+    # eight sums over independent hashes name a set of labels without holding it in a row
+    pairs = access.select("employee_id", "label_id").distinct()
+    parts = [F.xxhash64(F.lit(k), "label_id") for k in range(4)]
+    sums = [F.bit_xor(p) for p in parts] + [F.sum(p.cast("decimal(20,0)")) for p in parts]
+    name = F.sha2(F.concat_ws(":", F.count("*"), *[x.cast("string") for x in sums]), 256)
+    by_user = pairs.groupBy("employee_id").agg(name.alias("scope_id"))
+    holders = by_user.groupBy("scope_id").agg(F.min("employee_id").alias("employee_id"))
+    by_label = holders.join(pairs, "employee_id").select("scope_id", "label_id")
     return by_user, by_label
 
 

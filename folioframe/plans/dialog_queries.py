@@ -109,8 +109,8 @@ def learned_corrections(spark, sf):
 
 @register(
     "latest_feedback",
-    f"""SELECT event_id, feedback, previous FROM (SELECT conv_id * 1000 + turn AS event_id, {_STRIP.format('text')} AS feedback, substr(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), 1, 2000) AS previous
-        FROM conversations) WHERE feedback <> '' ORDER BY event_id DESC LIMIT 2000""",
+    f"""SELECT event_id, feedback, previous FROM (SELECT conv_id * 1000 + turn AS event_id, {_STRIP.format('text')} AS feedback, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS previous
+        FROM conversations) WHERE feedback <> ''""",
 )
 def latest_feedback(spark, sf):
     from pyspark.sql import Window

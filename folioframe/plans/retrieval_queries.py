@@ -84,11 +84,11 @@ FULLTEXT = f"""
 kw AS (SELECT trace_id, chunk_id, rank FROM (
          SELECT *, {_rank()} AS rank FROM hits
          WHERE score > 0 AND len(list_filter(toks, lambda x: contains(lower(content), x))) = len(toks)) WHERE rank <= 64),
-bmtop AS (SELECT * FROM (SELECT *, {_rank()} AS r0 FROM bm WHERE score > 0) WHERE r0 <= 64),
-bmk AS (SELECT trace_id, chunk_id, row_number() OVER (PARTITION BY trace_id ORDER BY r0) AS rank
-        FROM bmtop JOIN req USING (trace_id) JOIN chunks USING (chunk_id)
-        WHERE NOT (len(required) >= 1 AND len(toks) >= 2)
-           OR len(list_filter(required, lambda x: contains(lower(content), x))) = len(required)),
+bmall AS (SELECT trace_id, chunk_id, score
+          FROM bm JOIN req USING (trace_id) JOIN chunks USING (chunk_id)
+          WHERE score > 0 AND (NOT (len(required) >= 1 AND len(toks) >= 2)
+             OR len(list_filter(required, lambda x: contains(lower(content), x))) = len(required))),
+bmk AS (SELECT trace_id, chunk_id, rank FROM (SELECT *, {_rank()} AS rank FROM bmall) WHERE rank <= 64),
 fused AS (SELECT *, {_rank()} AS rank FROM (
             SELECT trace_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score
             FROM (SELECT * FROM kw UNION ALL SELECT * FROM bmk) GROUP BY 1, 2)),

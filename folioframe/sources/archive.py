@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,11 +10,7 @@ from pyspark.sql import functions as F
 
 from folioframe import fixed_values as fx
 from folioframe.functions import text as tx
-
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
-_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-
+from folioframe.sources import formats as fm
 
 def import_action(extension: Column) -> Column:
     e = F.lower(extension)
@@ -52,11 +44,10 @@ def scan_archive(
     rel = F.substring(rel, F.lit(len(base) + 1), F.length(rel))
     cols = [rel.alias("relative_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime")]
     if compute_hash:
-        cols.append(F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("_hash"))
+        candidate = import_action(tx.suffix(rel)) == "ingest_candidate"
+        hashed = F.when(candidate, F.concat(F.lit("sha256:"), F.sha2("content", 256)))
+        cols.append(hashed.alias("content_hash"))
     out = manifest_columns(files.select(*cols))
-    if compute_hash:
-        candidate = F.col("import_action") == "ingest_candidate"
-        out = out.withColumn("content_hash", F.when(candidate, F.col("_hash"))).drop("_hash")
     if max_entries is not None:
         out = out.orderBy("relative_path").limit(max_entries)
     return out
@@ -67,95 +58,6 @@ def temp_or_oversize(name: Column, size: Column, limit: int = fx.MAX_FILE_BYTES)
     return F.when(name.startswith("~$"), "skip_temp").when(size > limit, "too_large")
 
 
-def _decode(raw: bytes) -> str:
-    for charset in ("utf-8", "cp1251"):
-        try:
-            return raw.decode(charset)
-        except UnicodeDecodeError:
-            pass
-    return raw.decode("latin-1")
-
-
-def _squeeze(text: str) -> str:
-    return " ".join(text.split())
-
-
-def _docx(raw: bytes) -> str:
-    root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml"))
-    return _squeeze("".join((n.text or "") + (n.tail or "") for n in root.iter(_W + "t")))
-
-
-def _xlsx(raw: bytes) -> str:
-    archive = zipfile.ZipFile(io.BytesIO(raw))
-    if "xl/sharedStrings.xml" not in archive.namelist():
-        return ""
-    root = ElementTree.fromstring(archive.read("xl/sharedStrings.xml"))
-    lines = ("".join(t.text or "" for t in item.iter(_S + "t")).strip() for item in root.iter(_S + "si"))
-    return "\n".join(filter(None, lines))
-
-
-def _pptx(raw: bytes) -> str:
-    archive = zipfile.ZipFile(io.BytesIO(raw))
-    names = sorted(n for n in archive.namelist() if re.match(r"ppt/slides/slide.*\.xml$", n))
-    slides = (ElementTree.fromstring(archive.read(n)) for n in names)
-    return "\n".join(filter(None, (" ".join(t.text for t in s.iter(_A + "t") if t.text).strip() for s in slides)))
-
-
-def _printable(raw: bytes) -> str:
-    """Distinct printable runs of five or more bytes (at most 300, as the fallback is a preview)."""
-    runs = (m.group().decode("cp1251", "ignore") for m in re.finditer(rb"[\x20-\x7e\xc0-\xff]{5,}", raw))
-    first: dict[str, str] = {}
-    for run in runs:
-        first.setdefault(run.lower(), run)
-    return "\n".join(list(first.values())[:300]).strip()
-
-
-def _zip(raw: bytes, max_files: int = 25, max_bytes: int = 2 * 1024 * 1024) -> str:
-    archive = zipfile.ZipFile(io.BytesIO(raw))
-    parts = []
-    for info in archive.infolist()[:max_files]:
-        kind = re.search(r"[^./](\.[^./]+)$", info.filename)
-        kind = kind.group(1).lower() if kind else ""
-        if info.is_dir() or info.file_size > max_bytes or kind not in fx.ZIP_INNER_EXTENSIONS:
-            continue
-        text = read_text(archive.read(info), kind)[0].strip()
-        if text:
-            parts.append(f"[{info.filename}]\n{text}")
-    return "\n\n".join(parts)
-
-
-def _rtf(raw: bytes) -> str:
-    return _squeeze(re.sub(r"[{}]", "", re.sub(r"\\[a-z]+-?\d*\s?", " ", _decode(raw))))
-
-
-_READERS = {
-    ".txt": ("plain_text", lambda raw: _decode(raw).strip()),
-    ".md": ("plain_text", lambda raw: _decode(raw).strip()),
-    ".csv": ("csv", lambda raw: _decode(raw).strip()),
-    ".sdr": ("sdr_text", lambda raw: _decode(raw).strip() or _printable(raw)),
-    ".rtf": ("rtf_strip", _rtf),
-    ".docx": ("docx_xml", _docx),
-    ".xlsx": ("xlsx_strings", _xlsx),
-    ".xlsm": ("xlsx_strings", _xlsx),
-    ".pptx": ("pptx_xml", _pptx),
-    ".xls": ("xls_strings", _printable),
-    ".ppt": ("ppt_strings", _printable),
-    ".zip": ("zip_inner", _zip),
-}
-_UNSUPPORTED = {".pdf", ".doc", ".dwg", ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".gif", ".webp", ".bmp"}
-
-
-def read_text(raw: bytes, kind: str) -> tuple[str, str]:
-    """(text, method) of one file."""
-    if kind in _UNSUPPORTED:
-        return "", "unsupported"
-    method, reader = _READERS.get(kind, ("binary_decode", lambda b: _decode(b).strip()))
-    try:
-        return reader(raw), method
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-        return "", method
-
-
 def confidence(method: Column, chars: Column) -> Column:
     """Confidence of an extraction from its method and length."""
     long_enough = lambda n, yes, no: F.when(chars > n, yes).otherwise(no)
@@ -175,27 +77,50 @@ def confidence(method: Column, chars: Column) -> Column:
 
 
 def extract_text(files: DataFrame, key: str = "relative_path", custom=None) -> DataFrame:
-    """Adds text, method, page_count and confidence to (key, content) rows.
+    """(key, text, method, page_count, confidence, error) of (key, content) rows.
 
-    ``custom`` maps a suffix to ``bytes -> text`` for formats the library does not
-    read; such files otherwise come out with method ``unsupported``.
+    The entries of a zip become rows that go through the same readers, and their texts
+    are put together again in the order of the archive.  A damaged or encrypted file or
+    entry gives no text and is named in ``error``.  ``custom`` maps a suffix to
+    ``bytes -> text`` for formats the library does not read; such files otherwise come
+    out with method ``unsupported``.
     """
     plug = dict(custom or {})
+    inner = frozenset(fx.ZIP_INNER_EXTENSIONS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pairs = [
-                (plug[k](bytes(raw)), "custom") if k in plug else read_text(bytes(raw), k)
+            for name, raw in zip(pdf["id"], pdf["content"]):
+                rows = list(fm.members(bytes(raw or b""), inner)) or [(0, "", "", b"", None)]
+                yield pd.DataFrame([(name, *r) for r in rows], columns=["id", "part", "name", "kind", "content", "error"])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [
+                (plug[k](bytes(raw)), "custom", None) if k in plug else fm.read_text(bytes(raw or b""), k)
                 for raw, k in zip(pdf["content"], pdf["kind"])
             ]
-            yield pd.DataFrame(
-                {"id": pdf["id"], "text": [p[0] for p in pairs], "method": [p[1] for p in pairs]}
-            )
+            out = pdf[["id", "part", "name"]].assign(text=[f[0] for f in found], method=[f[1] for f in found])
+            yield out.assign(error=[f[2] if e is None else e for f, e in zip(found, pdf["error"])])
 
     rows = files.select(
         F.col(key).alias("id"), "content", tx.guess_suffix(F.col(key), F.col("content")).alias("kind")
     )
-    out = rows.mapInPandas(run, "id string, text string, method string").withColumnRenamed("id", key)
+    zipped = (F.col("kind") == ".zip") if ".zip" not in plug else F.lit(False)
+    row = "id string, part int, name string, kind string, content binary, error string"
+    result = "id string, part int, name string, text string, method string, error string"
+    no = F.lit(None).cast("string")
+    single = rows.where(~zipped).select("id", F.lit(0).alias("part"), no.alias("name"), "kind", "content", no.alias("error"))
+    single = single.mapInPandas(read, result).select("id", "text", "method", "error")
+    entries = rows.where(zipped).select("id", "content").mapInPandas(unpack, row).mapInPandas(read, result)
+    shown = F.when(F.col("text") != "", F.concat(F.lit("["), "name", F.lit("]\n"), "text"))
+    # the entries of one file, as many as its directory lists
+    joined = entries.groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("part", shown.alias("text")))).alias("parts"), F.first("error", True).alias("error")
+    )
+    texts = F.filter(F.transform("parts", lambda p: p["text"]), lambda t: t.isNotNull())
+    archives = joined.select("id", F.array_join(texts, "\n\n").alias("text"), F.lit("zip_inner").alias("method"), "error")
+    out = single.unionByName(archives).withColumnRenamed("id", key)
     readable = (F.col("method") != "unsupported") & ~((F.col("method") == "docx_xml") & (F.col("text") == ""))
     return out.withColumns(
         {

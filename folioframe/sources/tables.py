@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,15 +151,23 @@ def write_corpus(chunks: DataFrame, path: str) -> None:
 
 
 def read_sheet_cells(spark: SparkSession, path: str) -> DataFrame:
-    """Sheets exported as CSV -> (sheet, ordinal, values).
+    """Sheets exported as CSV -> (sheet, ordinal, values): all columns, cells with line breaks included.
 
-    A sheet is one file, parsed whole, so the row number is the position in the file.
+    A sheet is one file, parsed as a stream of records; the row number is the place of
+    the record in the file.  Records without any cell are left out.
     """
-    raw = spark.read.text(path, wholetext=True).select(
-        F.element_at(F.split(F.input_file_name(), "/"), -1).alias("sheet"), "value"
+    raw = spark.read.format("binaryFile").load(path).select(
+        F.element_at(F.split(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "/"), -1).alias("sheet"), "content"
     )
-    lines = raw.select("sheet", F.posexplode(F.split("value", r"\r?\n")).alias("ordinal", "line"))
-    wide = ",".join(f"c{i}:string" for i in range(64))
-    cells = F.from_csv("line", f"{wide.replace(':', ' ')}", {"quote": '"'})
-    values = F.array(*[cells[f"c{i}"] for i in range(64)])
-    return lines.where(F.trim("line") != "").select("sheet", "ordinal", values.alias("values"))
+
+    def records(batches):
+        for pdf in batches:
+            for sheet, content in zip(pdf["sheet"], pdf["content"]):
+                lines = csv.reader(io.StringIO(bytes(content).decode("utf-8-sig", "replace"), newline=""))
+                rows = ((sheet, n, cells) for n, cells in enumerate(lines) if cells)
+                while chunk := list(itertools.islice(rows, 10_000)):
+                    yield pd.DataFrame(chunk, columns=["sheet", "ordinal", "values"])
+
+    cells = raw.mapInPandas(records, "sheet string, ordinal int, values array<string>")
+    # an empty cell is no value
+    return cells.withColumn("values", F.transform("values", lambda v: F.nullif(v, F.lit(""))))

@@ -47,6 +47,49 @@ def test_archive_scan_and_extract(spark, tmp_path):
     assert got["h.docx"] == ("", "docx_xml", 0.0)
 
 
+def test_readers_of_formats(spark, tmp_path):
+    """Sheets by row and cell, slides in order with notes, escapes of rich text, many and damaged entries."""
+    R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    cell = lambda r, t, v: f'<c r="{r}" t="{t}"><v>{v}</v></c>'
+    sheet = f'<w xmlns="{S}"><sheetData><row>{cell("A1", "s", 1)}{cell("B1", "n", 42)}</row><row><c t="inlineStr"><is><t>x</t></is></c></row></sheetData></w>'
+    _zip(tmp_path / "a.xlsx", **{"xl/sharedStrings.xml": f'<s xmlns="{S}"><si><t>Owner</t></si><si><t>Due</t></si></s>', "xl/worksheets/sheet1.xml": sheet})
+    slide = lambda t: f'<p xmlns:a="{A}"><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p>'
+    rel = lambda *ts: "<r>" + "".join(f'<x Id="r{i}" Target="{t}"/>' for i, t in enumerate(ts)) + "</r>"
+    _zip(tmp_path / "b.pptx", **{
+        "ppt/slides/slide1.xml": slide("second"), "ppt/slides/slide2.xml": slide("first"), "ppt/notesSlides/n.xml": slide("note"),
+        "ppt/presentation.xml": f'<p xmlns:r="{R}"><sldId r:id="r1"/><sldId r:id="r0"/></p>',
+        "ppt/_rels/presentation.xml.rels": rel("slides/slide1.xml", "/ppt/slides/slide2.xml"),
+        "ppt/slides/_rels/slide2.xml.rels": rel("../notesSlides/n.xml"),
+    })
+    (tmp_path / "c.rtf").write_bytes(rb"{\rtf1\ansi\ansicpg1251{\fonttbl{\f0 Arial;}}\uc1 \'cf\'f0\'e8 \u1074?\u1077? a\par b{\*\x hidden}}")
+    _zip(tmp_path / "d.zip", **{f"f{i}.txt": f"text {i}" for i in range(30)})
+    (tmp_path / "e.xls").write_bytes(b"\x00\x01Hello there\x02abc\x03HELLO THERE\x04" + "Журнал".encode("cp1251") + b"\x00")
+    (tmp_path / "f.sdr").write_bytes("Смета".encode("cp1251"))
+    (tmp_path / "g.md").write_text("# head")
+    locked = bytearray((tmp_path / "d.zip").read_bytes())
+    locked[6] |= 1
+    at = bytes(locked).index(b"PK\x01\x02")
+    locked[at + 8] |= 1
+    (tmp_path / "h.zip").write_bytes(bytes(locked))
+    (tmp_path / "i.zip").write_bytes(b"PK\x03\x04 damaged")
+    (tmp_path / "j.docx").write_bytes((tmp_path / "a.xlsx").read_bytes())
+    files = spark.read.format("binaryFile").load(str(tmp_path)).selectExpr("element_at(split(path, '/'), -1) AS relative_path", "content")
+    got = {r["relative_path"]: r for r in ar.extract_text(files).collect()}
+    assert {k: got[k]["text"] for k in got if k[0] in "abcefg"} == {
+        "a.xlsx": "Due\t42\nx", "b.pptx": "first\nnote\nsecond", "c.rtf": "При ве a b", "e.xls": "Hello there\nЖурнал", "f.sdr": "Смета", "g.md": "# head",
+    }
+    assert got["d.zip"]["text"].count("text") == 30 and got["d.zip"]["error"] is None
+    assert got["h.zip"]["text"].count("text") == 29 and got["h.zip"]["error"].startswith("f0.txt: RuntimeError")
+    assert got["i.zip"]["text"] == "" and "BadZipFile" in got["i.zip"]["error"]
+    assert got["j.docx"]["error"].startswith("KeyError")
+
+
+def test_sheet_with_many_columns_and_line_breaks(spark, tmp_path):
+    (tmp_path / "wide.csv").write_text(",".join(f"c{i}" for i in range(70)) + '\n\n"two\nlines",b\n')
+    rows = tb.read_sheet_cells(spark, str(tmp_path / "wide.csv")).orderBy("ordinal").collect()
+    assert [len(r["values"]) for r in rows] == [70, 2] and rows[1]["values"][0] == "two\nlines"
+
+
 def test_chunk_files(spark, tmp_path):
     rows = [{"chunk_id": "c1", "doc_id": "d", "page": 1, "content_preview": "x"}]
     (tmp_path / "v1.json").write_text(json.dumps({"chunks": rows}))
