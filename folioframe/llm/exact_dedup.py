@@ -61,9 +61,3 @@ def exact_dedup(
 
 def _many(grouped) -> DataFrame:
     return grouped.agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
-
-
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
