@@ -44,10 +44,21 @@ def hash_embedding(c: Column, dims: int = 64) -> Column:
     """Bag-of-words vector of unit length over ``dims`` token buckets."""
     low = F.lower(F.coalesce(c, F.lit("")))
     toks = F.regexp_extract_all(low, F.lit("[a-zа-яё0-9]{3,}"), F.lit(0))
-    buckets = F.transform(toks, lambda t: hash_bucket(t, dims))
+    # sorted buckets are counted in one pass: a pair is appended where the bucket changes
+    buckets = F.array_sort(F.transform(toks, lambda t: hash_bucket(t, dims)))
+    pair = lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"))
+    kind = "struct<at:bigint,n:bigint,done:array<struct<at:bigint,n:bigint>>>"
+    none = F.array().cast("array<struct<at:bigint,n:bigint>>")
+    start = F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n"), none.alias("done")).cast(kind)
+
+    def step(s: Column, x: Column) -> Column:
+        more = F.struct(s["at"].alias("at"), (s["n"] + 1).alias("n"), s["done"].alias("done"))
+        done = F.when(s["at"] < 0, s["done"]).otherwise(F.array_append(s["done"], pair(s)))
+        return F.when(s["at"] == x, more).otherwise(F.struct(x.alias("at"), F.lit(1).cast("bigint").alias("n"), done.alias("done")))
+
+    pairs = F.aggregate(buckets, start, step, lambda s: F.array_append(s["done"], pair(s)))
     bins = F.sequence(F.lit(0).cast("bigint"), F.lit(dims - 1).cast("bigint"))
     counts = let(
-        buckets,
-        lambda b: F.transform(bins, lambda d: (F.size(b) - F.size(F.array_remove(b, d))).cast("double")),
+        F.map_from_entries(pairs), lambda m: F.transform(bins, lambda d: F.coalesce(m[d], F.lit(0)).cast("double"))
     )
     return let(counts, unit)

@@ -442,6 +442,25 @@ def vector_topk(spark, sf):
     return vs.vector_topk(prototypes(spark, sf), b.table(spark, sf, "embeddings"), 20)
 
 
+@register(
+    "vector_topk_by_scope",
+    _with(PROTOTYPES)
+    + """ SELECT query_id, 'v' || vec_id AS chunk_id, score, rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, 'v' || vec_id) AS rank FROM cosines
+          WHERE (CAST(query_id AS BIGINT) + vec_id % 7) % 3 <> 0) WHERE rank <= 20""",
+)
+def vector_topk_by_scope(spark, sf):
+    """Each query sees its own labels only; ids are strings, as in the chunk table."""
+    rows = b.table(spark, sf, "embeddings").select(
+        F.concat(F.lit("v"), "vec_id").alias("chunk_id"), "embedding", (F.col("vec_id") % 7).alias("label_id"), "label"
+    )
+    asked = prototypes(spark, sf).withColumn("scope_id", F.col("query_id").cast("bigint"))
+    held = rows.select("label_id").distinct().join(
+        rows.select(F.col("label").cast("bigint").alias("scope_id")).distinct(), (F.col("scope_id") + F.col("label_id")) % 3 != 0
+    )
+    return vs.vector_topk(asked, rows, 20, "chunk_id", scopes=held.select("scope_id", "label_id"))
+
+
 @register(
     "cosine",
     _with(PROTOTYPES) + " SELECT vec_id, score FROM cosines WHERE query_id = CAST(label AS VARCHAR)",

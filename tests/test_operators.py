@@ -138,7 +138,7 @@ def test_vector_topk_blocks(spark, monkeypatch):
     df = spark.createDataFrame(vecs, "vec_id bigint, embedding array<float>")
     queries = spark.createDataFrame([(str(i), v) for i, v in vecs[:20]], "query_id string, vector array<double>")
     whole = sorted(map(tuple, vs.vector_topk(queries, df, 5).select("query_id", "vec_id", "rank").collect()))
-    monkeypatch.setattr(vs, "QUERY_BLOCK", 6)
+    monkeypatch.setattr(vs, "BLOCK_ROWS", 6)
     assert sorted(map(tuple, vs.vector_topk(queries, df, 5).select("query_id", "vec_id", "rank").collect())) == whole
     norm = lambda v: math.sqrt(sum(x * x for x in v))
     for qid, q in vecs[:3]:
