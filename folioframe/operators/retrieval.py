@@ -229,12 +229,12 @@ def _needs_all() -> Column:
     return (F.size("required") >= 1) & (F.size("tokens") >= 2)
 
 
-def _keyword_scores(tested: DataFrame, literal_only: bool) -> DataFrame:
+def _keyword_scores(tested: DataFrame, literal_only: bool, scorer=None) -> DataFrame:
     if literal_only:
         tested = tested.where(tx.literal_prefilter(F.col("query"), F.col("content")))
-    scored = tested.withColumn(
-        "score", F.round(sc.match_score(F.col("query"), F.col("content"), F.col("_lemmas")), 6)
-    )
+    query, content = F.col("query"), F.col("content")
+    score = scorer(query, content) if scorer else sc.match_score(query, content, F.col("_lemmas"))
+    scored = tested.withColumn("score", F.round(score, 6))
     return scored.where("score > 0").drop("_lemmas", "tokens")
 
 
@@ -244,14 +244,16 @@ def keyword_matches(
     scopes: DataFrame,
     literal_only: bool = False,
     analysed: tuple[DataFrame, DataFrame] | None = None,
+    scorer=None,
 ) -> DataFrame:
     """Scored (request, chunk) pairs that hold all required tokens.
 
     ``literal_only`` also demands the literal prefilter of the full-text scan.
-    ``analysed`` passes on the outcome of :func:`required_tokens`.
+    ``analysed`` passes on the outcome of :func:`required_tokens`.  ``scorer`` is a column
+    function of query and content in place of the match score.
     """
     asked, anchor_terms = analysed or required_tokens(requests, chunks, scopes)
-    return _keyword_scores(token_tested(asked, anchor_terms, chunks, scopes), literal_only)
+    return _keyword_scores(token_tested(asked, anchor_terms, chunks, scopes), literal_only, scorer)
 
 
 def rank_by_score(df: DataFrame, group: list[str], k: int | None = None, score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -378,6 +380,56 @@ def rag_search(requests: DataFrame, chunks: DataFrame, scopes: DataFrame, top_k:
     )
 
 
+def search_response(
+    requests: DataFrame,
+    users: DataFrame,
+    access: DataFrame,
+    chunks: DataFrame,
+    top_k: int = 8,
+    scorer=None,
+    rerank: bool = True,
+    script: str = "[а-яёА-ЯЁ]",
+    default_scope: str | None = None,
+) -> DataFrame:
+    """The whole answer to every request: its results, the filter applied, and counts.
+
+    ``requests``: trace_id, query, employee_id.  ``access``: see ``security.label_access``.
+    A request has a row per result; one without results has a single row whose result
+    columns are null.  A user bound to a department without having one is denied.
+    Results are ranked in a pool of four times ``top_k`` and ordered again by quality.
+    """
+    from folioframe.operators import chunking as ch
+    from folioframe.operators import security as se
+
+    scope = se.department_scope(F.col("project_role"), default_scope) if default_scope else se.department_scope(F.col("project_role"))
+    clearance = F.coalesce("clearance", F.lit("internal"))
+    applied = F.struct(
+        "company_id", "project_id", scope.alias("department_scope"), clearance.alias("max_clearance"), "project_role"
+    )
+    no_department = F.coalesce("department_id", F.lit("")) == ""
+    asked = requests.join(users, "employee_id").select(
+        "trace_id", "query", "employee_id", applied.alias("filter_applied"), ((scope == "S_dept") & no_department).alias("denied_by_policy")
+    )
+    by_user, scopes = se.visibility_scopes(access)
+    open_ = asked.where(~F.col("denied_by_policy")).join(by_user, "employee_id").select("trace_id", "query", "scope_id")
+    pool = rank_by_score(keyword_matches(open_, chunks, scopes, scorer=scorer), ["trace_id"], 4 * top_k)
+    pool = pool.withColumns({"score": F.round("score", 4), "snippet": F.substring("content", 1, 280)})
+    ranked = quality_rerank(pool, top_k, script) if rerank else pool.where(F.col("rank") <= top_k)
+    ranked = ranked.select("trace_id", "chunk_id", "rank", "score")
+    cited = chunks.select("chunk_id", "doc_id", "classification", ch.citation().alias("citation"))
+    results = ranked.join(cited, "chunk_id")
+    counts = ranked.groupBy("trace_id").agg(F.count("*").alias("results_after_rls"))
+    total = chunks.agg(F.count("*").alias("n")).scalar()
+    return (
+        asked.join(counts, "trace_id", "left")
+        .join(results, "trace_id", "left")
+        .select(
+            "trace_id", "rank", "chunk_id", "doc_id", "score", "classification", "citation", "filter_applied",
+            total.alias("candidates_before_rls"), F.coalesce("results_after_rls", F.lit(0)).alias("results_after_rls"), "denied_by_policy",
+        )
+    )
+
+
 def search_stats(requests: DataFrame, results: DataFrame, total_chunks: Column | DataFrame) -> DataFrame:
     """candidates_before_rls and results_after_rls per request."""
     counted = results.groupBy("trace_id").agg(F.count("*").alias("results_after_rls"))

@@ -329,6 +329,41 @@ def quality_rerank(spark, sf):
     return rt.quality_rerank(results, script=b.LATIN)
 
 
+@register(
+    "search_response",
+    _with(b.SQL_SECURE, USER_ASKS, REQUIRED, MATCHES, SEARCH.replace("rank <= 8", "rank <= 32"))
+    + f""", z AS (SELECT *, regexp_extract_all(lower(q), '{T2}') AS qt, {_STRIP.format('snippet')} AS t FROM results),
+       k AS (SELECT *, {sql_quality('t')} AS quality FROM z
+             WHERE len(qt) < 2 OR len(list_filter(qt, lambda x: contains(lower(snippet), x))) = len(qt)),
+       s AS (SELECT trace_id, chunk_id, round(score * (0.45::DOUBLE + 0.55::DOUBLE * quality)
+               + 0.35::DOUBLE * {sql_match_score('q', 'snippet')}
+               - CASE WHEN row_number() OVER (PARTITION BY trace_id, doc_id ORDER BY rank) > 1 THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END, 4) AS score
+             FROM k WHERE quality >= 0.12),
+       n AS (SELECT trace_id, chunk_id, score, {_rank()} AS rank FROM s),
+       fin AS (SELECT * FROM n WHERE rank <= 8 UNION ALL
+               SELECT trace_id, chunk_id, score, rank FROM results WHERE rank <= 8 AND trace_id NOT IN (SELECT trace_id FROM n)),
+       every AS (SELECT item_id || ':' || employee_id AS trace_id, u.* FROM benchmark, users u)
+       SELECT e.trace_id, f.rank, f.chunk_id, c.doc_id, f.score, c.classification,
+              substr(c.content, 1, 280) AS snippet, c.source_relative_path AS relative_path,
+              coalesce(e.clearance, 'internal') AS max_clearance, e.project_role,
+              (SELECT count(*) FROM chunks) AS candidates_before_rls,
+              CAST(count(f.chunk_id) OVER (PARTITION BY e.trace_id) AS BIGINT) AS results_after_rls,
+              {b.SQL_SCOPE.format(r='e.project_role')} = 'S_dept' AND coalesce(e.department_id, '') = '' AS denied_by_policy
+       FROM every e LEFT JOIN fin f USING (trace_id) LEFT JOIN chunks c USING (chunk_id)""",
+)
+def search_response(spark, sf):
+    """Every passage asked by every user, with those who may see nothing."""
+    people = b.users(spark)
+    asked = b.table(spark, sf, "benchmark").join(people.select("employee_id")).select(
+        F.concat_ws(":", "item_id", "employee_id").alias("trace_id"), F.col("text").alias("query"), "employee_id"
+    )
+    out = rt.search_response(asked, people, b.access(spark, sf), b.chunks(spark, sf), script=b.LATIN)
+    return out.select(
+        "trace_id", "rank", "chunk_id", "doc_id", "score", "classification", "citation.snippet", "citation.relative_path",
+        "filter_applied.max_clearance", "filter_applied.project_role", "candidates_before_rls", "results_after_rls", "denied_by_policy",
+    )
+
+
 @register(
     "model_rerank",
     _with(b.SQL_CHUNKS, OPEN_ASKS, REQUIRED, MATCHES, SEARCH)
