@@ -162,16 +162,18 @@ def guess_suffix(spark, sf):
 
 @register(
     "scan_archive",
-    """SELECT DISTINCT 'lang=' || lang AS folder, '.txt' AS extension, 'ingest_candidate' AS import_action, true AS hashed FROM documents""",
+    """SELECT 'lang=' || lang || '/doc_id=' || doc_id AS folder, '.txt' AS extension, 'ingest_candidate' AS import_action,
+              CAST(strlen(text) + 1 AS BIGINT) AS size_bytes, 'sha256:' || sha256(text || chr(10)) AS content_hash FROM documents""",
 )
 def scan_archive(spark, sf):
-    """Documents written as text files, one folder per language, then listed with hashes."""
+    """Every document written as a file in a folder of its own, then listed with hashes."""
     root = scratch(spark, "archive")
-    b.table(spark, sf, "documents").select("lang", F.base64(F.encode("text", "UTF-8")).alias("value")).write.partitionBy("lang").text(f"{root}/files")
+    docs = b.table(spark, sf, "documents").select("lang", "doc_id", F.col("text").alias("value"))
+    docs.write.partitionBy("lang", "doc_id").text(f"{root}/files")
     listing = ar.scan_archive(spark, f"{root}/files", compute_hash=True)
     return listing.select(
-        F.regexp_extract("relative_path", "^([^/]+)/", 1).alias("folder"), "extension", "import_action", F.col("content_hash").isNotNull().alias("hashed")
-    ).distinct()
+        F.regexp_extract("relative_path", "^(.*)/[^/]+$", 1).alias("folder"), "extension", "import_action", "size_bytes", "content_hash"
+    )
 
 
 # --- streams: the tables are split into files, which the stream reads to the end ---------------
@@ -215,12 +217,15 @@ def audit_stream(spark, sf):
     return counts.groupBy("event_type").agg(F.max("events").alias("events"))
 
 
-@register("stream_dedup", "SELECT count(DISTINCT sha256(text)) AS kept FROM documents")
+@register("stream_dedup", "SELECT 'sha256:' || sha256(text) AS content_hash, count(DISTINCT sha256(text)) AS kept FROM documents GROUP BY 1")
 def stream_dedup(spark, sf):
+    """One row per content, whichever of its copies arrives first; times follow the ids."""
+    at = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") % 3600)
     rows = b.table(spark, sf, "documents").select(
-        "doc_id", F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("content_hash"), F.lit("2024-01-01").cast("timestamp").alias("ts")
+        "doc_id", F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("content_hash"), at.alias("ts")
     )
-    return _drain(flows.stream_dedup(_stream_of(spark, rows, "dedup")), spark, "append").agg(F.count("*").alias("kept"))
+    out = _drain(flows.stream_dedup(_stream_of(spark, rows, "dedup")), spark, "append")
+    return out.groupBy("content_hash").agg(F.count("*").alias("kept"))
 
 
 @register(
@@ -280,3 +285,84 @@ def breaker_state(spark, sf):
     )
     return _drain(flows.breaker_state(_stream_of(spark, rows, "breaker", 1)), spark, "append")
 
+
+
+# --- readers on files as they come: whole JSON documents and sheets ----------------------------
+
+FILE_ROWS = 500  # rows of a written document, so files grow in number and not in size
+
+
+def _as_files(rows, part, order, value, path):
+    """One text file per part, its lines in order."""
+    lines = rows.select(part.cast("bigint").alias("part"), order.alias("at"), value.alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "at").drop("at").write.partitionBy("part").text(path)
+
+
+@register(
+    "read_chunks_variant",
+    "WITH " + b.SQL_CHUNKS.strip() + " SELECT chunk_id, doc_id, classification, page, md5(content) AS content_md5, 0::BIGINT AS old FROM chunks"
+    " UNION ALL SELECT chunk_id, doc_id, classification, page, md5(upper(doc_id)), 1::BIGINT FROM chunks",
+)
+def read_chunks_variant(spark, sf):
+    """Chunk documents in two variants; ``auto`` takes the newer one, which is a bare list."""
+    path = scratch(spark, "variants")
+    rows = b.chunks(spark, sf)
+    part = F.floor(F.col("doc_no") / FILE_ROWS).alias("part")
+    for name, content in (("v1", F.upper("doc_id")), ("v2", F.col("content"))):
+        item = F.struct("chunk_id", "doc_id", "classification", "page", content.alias("content_preview"))
+        docs = rows.groupBy(part).agg(F.collect_list(item).alias("chunks"))
+        text = F.to_json(F.struct("chunks")) if name == "v1" else F.to_json("chunks")
+        _as_files(docs, F.col("part"), F.lit(0), text, f"{path}/{name}")
+    read = lambda variant, old: tb.read_chunks_variant(spark, f"{path}/v1", f"{path}/v2", variant).select(
+        "chunk_id", "doc_id", "classification", "page", F.md5("content").alias("content_md5"), F.lit(old).cast("bigint").alias("old")
+    )
+    return read("auto", 0).unionByName(read("v1", 1))
+
+
+@register(
+    "read_org_snapshot",
+    """SELECT 'employees' AS entity, 'e' || c_custkey AS id, CASE WHEN c_acctbal < 0 THEN 'blocked' ELSE 'active' END AS status FROM customer
+       UNION ALL SELECT 'companies', 'co' || s_suppkey, 'active' FROM supplier
+       UNION ALL SELECT 'assignments', 'a' || c_custkey, 'active' FROM customer""",
+)
+def read_org_snapshot(spark, sf):
+    """Snapshots of customers as employees with an assignment each, and suppliers as companies."""
+    path = scratch(spark, "org")
+    status = F.when(F.col("c_acctbal") < 0, "blocked").otherwise("active")
+    people = b.table(spark, sf, "customer").groupBy(F.floor(F.col("c_custkey") / FILE_ROWS).alias("part")).agg(
+        F.collect_list(F.struct(F.concat(F.lit("e"), "c_custkey").alias("employee_id"), status.alias("status"))).alias("employees"),
+        F.collect_list(F.struct(F.concat(F.lit("a"), "c_custkey").alias("assignment_id"), F.lit("active").alias("status"))).alias("assignments"),
+    )
+    firms = b.table(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / FILE_ROWS).alias("part")).agg(
+        F.collect_list(F.struct(F.concat(F.lit("co"), "s_suppkey").alias("company_id"), F.lit("active").alias("status"))).alias("companies")
+    )
+    both = people.join(firms, "part", "full")
+    arrays = [F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c) for c in ("companies", "employees", "assignments")]
+    _as_files(both, F.col("part"), F.lit(0), F.to_json(F.struct(*arrays)), f"{path}/snapshot")
+    org = tb.read_org_snapshot(spark, f"{path}/snapshot")
+    out = None
+    for entity, key in (("employees", "employee_id"), ("companies", "company_id"), ("assignments", "assignment_id")):
+        rows = org[entity].select(F.lit(entity).alias("entity"), F.col(key).alias("id"), "status")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register(
+    "read_sheets",
+    """SELECT 'Order, ' || o_orderkey || chr(10) || 'of ' || o_orderstatus AS task, 'owner ' || o_custkey AS owner, strftime(o_orderdate, '%Y-%m-%d') AS due,
+              CAST(75 AS BIGINT) AS cells, 'last' || o_orderkey AS last FROM orders""",
+)
+def read_sheets(spark, sf):
+    """Orders as CSV sheets of 75 columns, with commas and line breaks inside cells."""
+    path = scratch(spark, "sheets")
+    orders = b.table(spark, sf, "orders")
+    quoted = F.concat(F.lit('"Order, '), "o_orderkey", F.lit("\n"), F.lit("of "), "o_orderstatus", F.lit('"'))
+    line = F.concat(
+        F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(","), quoted, F.lit(",owner "), "o_custkey", F.lit("," * 72 + "last"), "o_orderkey"
+    )
+    _as_files(orders, F.floor(F.col("o_orderkey") / FILE_ROWS), F.col("o_orderkey"), line, f"{path}/csv")
+    cells = tb.read_sheet_cells(spark, f"{path}/csv")
+    at = lambda i: F.get("values", F.lit(i))
+    return cells.select(
+        at(1).alias("task"), at(2).alias("owner"), at(0).alias("due"), F.size("values").cast("bigint").alias("cells"), at(74).alias("last")
+    )
