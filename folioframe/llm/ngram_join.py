@@ -305,7 +305,8 @@ def jaccard_components(
     members = stored(reps.join(cells, "h1").select("rep", "cell"), "members")
     blocks = members.join(_task_keys(members), "cell")
     blocks = blocks.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    text = base.join(blocks, F.col("id") == F.col("rep"), "inner").dropDuplicates(["id"])
+    # texts are dealt by id at every size; the members are not a side to broadcast
+    text = base.join(blocks.hint("merge"), F.col("id") == F.col("rep"), "inner").dropDuplicates(["id"])
     # block i meets every block once: pairs (i, j) with i <= j
     text = text.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     text = text.select("id", "text", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
