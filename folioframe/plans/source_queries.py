@@ -179,7 +179,7 @@ def scan_archive(spark, sf):
 # --- streams: the tables are split into files, which the stream reads to the end ---------------
 
 
-def _drain(stream, spark, mode):
+def _drain(stream, spark, mode, keep_batch=False):
     """Run a stream over what is there and keep its output as a table in the shared folder."""
     root = scratch(spark, "stream")
 
@@ -194,7 +194,8 @@ def _drain(stream, spark, mode):
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{root}/out").drop("batch")
+    out = spark.read.parquet(f"{root}/out")
+    return out if keep_batch else out.drop("batch")
 
 
 def _rocks(spark):
@@ -263,15 +264,22 @@ def resumable_import(spark, sf):
 
 @register(
     "session_state",
-    "SELECT CAST(conv_id AS VARCHAR) AS session_id, least(count(*), 4) AS turns_kept, max(turn) AS last_turn FROM conversations GROUP BY 1",
+    """SELECT CAST(conv_id AS VARCHAR) AS session_id, least(count(*), 4) AS turns_kept, max(turn) AS last_turn,
+              coalesce(max_by(md5(text), turn) FILTER (role = 'assistant'), '') AS active_doc_ids FROM conversations GROUP BY 1""",
 )
 def session_state(spark, sf):
+    """Turns arrive in many files and several batches, in no order; the last state of each session counts."""
     _rocks(spark)
     rows = b.table(spark, sf, "conversations").select(
         F.col("conv_id").cast("string").alias("session_id"), "turn", "role", F.col("text").alias("content"), F.array(F.md5("text")).alias("doc_ids")
     )
-    out = _drain(flows.session_state(_stream_of(spark, rows, "session", 1), keep=4), spark, "update")
-    return out.select("session_id", "turns_kept", "last_turn")
+    path = scratch(spark, "session") + "/in"
+    files = max(4, spark.sparkContext.defaultParallelism)
+    rows.repartition(files, "turn", "session_id").write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-files // 4)).parquet(path)
+    out = _drain(flows.session_state(stream, keep=4), spark, "update", keep_batch=True)
+    last = out.groupBy("session_id").agg(F.max_by(F.struct("turns_kept", "last_turn", "active_doc_ids"), "batch").alias("s"))
+    return last.select("session_id", "s.*")
 
 
 @register(

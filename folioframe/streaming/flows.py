@@ -82,27 +82,28 @@ def stream_dedup(rows: DataFrame, time_col: str = "ts", key: str = "content_hash
 
 
 class SessionProcessor(StatefulProcessor):
-    """Last turns and active documents of each session."""
+    """Last turns and active documents of each session, whatever the order of arrival."""
 
     def __init__(self, keep: int = 24, docs: int = 8) -> None:
         self.keep, self.docs = keep, docs
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.turns = handle.getListState("turns", "turn bigint, role string, content string")
-        self.active = handle.getValueState("active", "doc_ids array<string>")
+        self.active = handle.getValueState("active", "turn bigint, doc_ids array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [tuple(t) for t in self.turns.get()] if self.turns.exists() else []
-        active = list(self.active.get()[0]) if self.active.exists() else []
-        new = sorted((r for pdf in rows for r in pdf.itertuples(index=False)), key=lambda r: r.turn)
-        for r in new:
-            held.append((int(r.turn), r.role, r.content))
-            cited = [d for d in (r.doc_ids if r.doc_ids is not None else []) if d]
-            if r.role == "assistant" and cited:
-                active = list(dict.fromkeys(cited))[: self.docs]
-        held = held[-self.keep:]
+        at, active = self.active.get() if self.active.exists() else (-1, [])
+        for pdf in rows:  # no more than the kept turns and one Arrow batch at a time
+            new = pdf.sort_values("turn", kind="stable")
+            held += zip(new["turn"].astype(int), new["role"], new["content"])
+            held = sorted(held, key=lambda t: t[0])[-self.keep:]
+            for turn, role, ids in zip(new["turn"], new["role"], new["doc_ids"]):
+                cited = [d for d in (ids if ids is not None else []) if d]
+                if role == "assistant" and cited and turn >= at:
+                    at, active = int(turn), list(dict.fromkeys(cited))[: self.docs]
         self.turns.put(held)
-        self.active.update((active,))
+        self.active.update((at, list(active)))
         yield pd.DataFrame(
             {
                 "session_id": [key[0]],
