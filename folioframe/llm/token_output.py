@@ -13,6 +13,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -75,6 +76,12 @@ class Encoder:
         return raw[: cut[0]] + b"".join([known(w) or found[w] for w in rest])
 
 
+@lru_cache(maxsize=1)
+def encoder_of(vocabulary: str) -> Encoder:
+    """The encoder of this worker, with the words that its earlier tasks have met."""
+    return Encoder(vocabulary)
+
+
 # --- files --------------------------------------------------------------------------------------
 
 
@@ -180,7 +187,7 @@ def write_token_files(
     shared = spark.sparkContext.broadcast(vocabulary)  # a file of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, writer, place = Encoder(shared.value), TaskContext.get().partitionId(), None, 0
+        encoder, part, writer, place = encoder_of(shared.value), TaskContext.get().partitionId(), None, 0
         end = np.array([END_ID], encoder.kind)
         for batch in batches:
             places, sizes = [], []
