@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioframe.llm.common import stored
 from folioframe.llm.exact_dedup import exact_dedup
 
 SHARD_ROWS = 8_000
@@ -133,7 +134,8 @@ def pack(
         F.col(source_col).cast("string").alias("source"),
         F.col(cluster_col).cast("string").alias("cluster"),
     )
-    shards = max(1, -(-docs.count() // shard_rows))
+    rows = stored(rows, "lengths")  # narrow, and counted before it is dealt
+    shards = max(1, -(-rows.count() // shard_rows))
     # null ids are spread by what else the row holds
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("length", "source"))), F.lit(shards)).cast("int"))
 
