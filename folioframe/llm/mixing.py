@@ -149,15 +149,22 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     total_tokens: float | None = None,
+    whole: str | None = None,
 ) -> DataFrame:
     """Per row: id, tokens, posterior (array in the order of ``weights``), domain, rate.
 
     ``labels``: id, domain.  Targets are ``weights``, scaled to sum to 1, times
     ``total_tokens``; by default the largest total for which no domain must give more
-    tokens than it is expected to have.  A null text is an empty one.  Repeated rows
-    and null ids are rows like any other.  ``domain`` is the likeliest one, the first
-    of equals.  An empty table gives an empty result.
+    tokens than it is expected to have, so the scarcest domain sets how much stays.
+    With ``whole``, that domain keeps what it has and sets the total; the others are
+    thinned to their targets, and one that has less than its target stays as it is.
+
+    A null text is an empty one.  Repeated rows and null ids are rows like any other.
+    ``domain`` is the likeliest one, the first of equals.  An empty table gives an empty
+    result.
     """
+    if whole is not None and (total_tokens is not None or not weights[whole] > 0):
+        raise ValueError("whole is a domain with a weight above 0, and sets the total itself")
     domains = list(weights)
     model = fit_classifier(docs, labels, domains, id_col, text_col)
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -166,9 +173,14 @@ def mix(
     have = soft.agg(*[F.sum(F.col("_tokens") * F.col("_p")[k]).alias(f"t{k}") for k in range(len(domains))]).first()
     have = [have[f"t{k}"] or 0.0 for k in range(len(domains))]
     share = [weights[d] / sum(weights.values()) for d in domains]
-    if total_tokens is None:
-        total_tokens = min((h / w for h, w in zip(have, share) if w > 0), default=0.0)
-    pull = fit_rates(soft, [w * total_tokens for w in share])
+    if whole is not None:
+        at = domains.index(whole)
+        targets = [min(h, w * have[at] / share[at]) for h, w in zip(have, share)]
+    else:
+        if total_tokens is None:
+            total_tokens = min((h / w for h, w in zip(have, share) if w > 0), default=0.0)
+        targets = [w * total_tokens for w in share]
+    pull = fit_rates(soft, targets)
     best = F.array_position("_p", F.array_max("_p")) - 1
     return soft.select(
         F.col("_id").alias(id_col),

@@ -96,7 +96,7 @@ WEIGHTS = {"clean": 0.94, "low": 0.04, "toxic": 0.02}
 @register("op9_mixing_rates")
 def op9_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = mx.label_domains(table(spark, sf_dir, "labels"))
-    out = mx.mix(table(spark, sf_dir, "documents"), labels, WEIGHTS)
+    out = mx.mix(table(spark, sf_dir, "documents"), labels, WEIGHTS, whole="clean")
     shares = [F.round(F.col("posterior")[k], 6).alias(f"p_{d}") for k, d in enumerate(WEIGHTS)]
     return out.select("doc_id", "tokens", *shares, "domain", F.round("rate", 6).alias("rate"))
 
