@@ -4,7 +4,9 @@ Centroids are fitted on a bounded sample so that their lists come out alike in s
 They stay in memory with a graph of their nearest neighbours, which a beam search walks.
 A vector is put on the list of its nearest centroid and, near a border, on the lists of
 others that lie about as close, unless a chosen centroid already covers that direction.
-A query reads the lists whose centroid is within a ratio of the distance to the nearest.
+A query reads the lists whose centroid is within a ratio of the distance at which the
+lists so far hold enough rows: mostly that of the nearest, but a centroid that is the query
+itself, or an outlier alone on its list, is passed over.
 Scores on the lists are exact cosines in double precision.
 """
 
@@ -28,7 +30,7 @@ DEGREE = 24  # neighbours of a centroid in the graph
 BEAM = 384  # centroids that a search keeps
 COPIES = 6  # lists of a vector at most
 NEAR = 0.12  # a vector is copied to centroids up to 1 + NEAR times the nearest distance
-READ = 0.20  # a query reads lists up to 1 + READ times the nearest distance
+READ = 0.20  # a query reads lists up to 1 + READ times the distance at which they hold enough rows
 SHARD_ROWS = 4096  # rows of a list, and queries of a list, that meet in one task
 SLACK = 1e-9  # of the product that preselects rows before their exact score
 
@@ -141,10 +143,27 @@ def places(index: Index, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_row), np.concatenate(out_list)
 
 
-def reads(index: Index, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) pairs: the lists that each unit query reads."""
+def reads(index: Index, rows: np.ndarray, held: np.ndarray | None = None, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) pairs: the lists that each unit query reads.
+
+    ``held``: rows of each list, each row counted once over all lists.  A query reads on
+    until its lists hold ``least`` rows, or all lists if there are fewer.
+    """
     order, distance = index.search(rows)
-    row, j = np.nonzero(distance <= (1 + READ) * distance[:, :1] + 1e-12)
+    if held is None:
+        held, least = np.ones(len(index.centroids), np.int64), 0
+    row, where = _within(order, distance, held, least)
+    short = np.flatnonzero(held[order].sum(axis=1) < least) if order.shape[1] < len(index.centroids) else []
+    if len(short):  # all that the beam reached is not enough
+        row, where = row[~np.isin(row, short)], where[~np.isin(row, short)]
+        more, lists = _within(*index.search(rows[short], len(index.centroids)), held, least)
+        row, where = np.concatenate([row, short[more]]), np.concatenate([where, lists])
+    return row, where
+
+
+def _within(order: np.ndarray, distance: np.ndarray, held: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    upto = np.minimum((held[order].cumsum(axis=1) < least).sum(axis=1), order.shape[1] - 1)
+    row, j = np.nonzero(distance <= (1 + READ) * distance[np.arange(len(order)), upto, None] + 1e-12)
     return row, order[row, j]
 
 
@@ -171,7 +190,10 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
 
 
 def _listed(index, dims: int, route):
-    """(list, id, vector) rows: the usable vectors on the lists that ``route`` names."""
+    """(list, id, vector, own) rows: the usable vectors on the lists that ``route`` names.
+
+    ``own`` marks the first pair of a vector: its nearest list.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,8 +203,11 @@ def _listed(index, dims: int, route):
                 flat = rows[low : low + 2048][row]
                 blobs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * dims), len(flat), [None, pa.py_buffer(flat.tobytes())])
                 ids = batch.column(0).take(pa.array(at[low : low + 2048][row]))
+                own = np.zeros(len(row), bool)
+                own[np.unique(row, return_index=True)[1]] = True
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(where, pa.int32()), ids.cast(pa.int64()), blobs.cast(pa.binary())], names=["list", "id", "vector"]
+                    [pa.array(where, pa.int32()), ids.cast(pa.int64()), blobs.cast(pa.binary()), pa.array(own)],
+                    names=["list", "id", "vector", "own"],
                 )
 
     return run
@@ -222,10 +247,16 @@ def nearest(
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(index)  # at most SAMPLE_ROWS / SAMPLE_PER_LIST centroids
-    schema = "list int, id long, vector binary"
+    schema = "list int, id long, vector binary, own boolean"
     usable_ids = lambda df: df.where(F.col(id_col).isNotNull()).select(id_col, vec_col)
     posted = stored(usable_ids(vectors).mapInArrow(_listed(shared, dims, places), schema), "lists")
-    asked = stored(usable_ids(queries).mapInArrow(_listed(shared, dims, reads), schema), "asked")
+    # an id counts on one list only, so that lists read together hold as many other rows as they say
+    homes = posted.where("own").groupBy("id").agg(F.min("list").alias("list")).groupBy("list").count()
+    held = np.zeros(len(index.centroids), np.int64)
+    for r in homes.collect():  # a row per list
+        held[r["list"]] = r["count"]
+    enough = lambda index, rows: reads(index, rows, held, k + 1)  # the query itself may be among them
+    asked = stored(usable_ids(queries).mapInArrow(_listed(shared, dims, enough), schema), "asked")
 
     def sizes(df: DataFrame) -> dict[int, int]:
         """Parts of each list: a row per list, so as many as there are centroids."""
@@ -236,6 +267,7 @@ def nearest(
     counts = lambda: F.broadcast(spark.createDataFrame([(c, shards[c], turns[c]) for c in both], "list int, shards int, turns int"))
     own = lambda name: F.pmod(F.xxhash64("id"), F.col(name)).cast("int")
     each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    posted, asked = posted.drop("own"), asked.drop("own")
     posted = posted.join(counts(), "list").withColumn("shard", own("shards")).withColumn("turn", each("turns"))
     asked = asked.join(counts(), "list").withColumn("turn", own("turns")).withColumn("shard", each("shards"))
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from folioframe.llm import ann
 
@@ -45,3 +46,39 @@ def test_shards_change_nothing(spark, monkeypatch):
     whole = run()
     monkeypatch.setattr(ann, "SHARD_ROWS", 3)
     assert run() == whole
+
+
+def test_outliers_and_small_groups_get_all_their_neighbours(spark, monkeypatch):
+    """A far outlier and groups of 2 to 5 copies are centroids with next to nothing on their lists."""
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(3000, 16)) * 0.3 + np.eye(16)[0] * 3
+    far = [0, 10, 20, *range(30, 33), *range(40, 45)]
+    for at, axis in zip(([0], [10, 20], [30, 31, 32], [40, 41, 42, 43, 44]), (1, 2, 3, 4)):
+        rows[at] = -np.eye(16)[axis] * 9 - np.eye(16)[0]
+    seeds = ann.unit(rows)
+    fit = lambda sample: ann.Index(*_index(np.concatenate([seeds[[0, 10, 30, 40]], seeds[1000:1026]])))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "fit", fit)
+    got = {}
+    for r in ann.nearest(df.where(F.col("vec_id").isin(far)), df).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert {q: len(v) for q, v in got.items()} == dict.fromkeys(far, 5)
+    want = exact(np.arange(len(rows)), rows, [30, 40], 5)
+    assert got[30][:2] == [i for i, _ in want[30]][:2] and got[40][:4] == [i for i, _ in want[40]][:4]
+    few = df.where("vec_id in (0, 10, 30, 40)")
+    assert ann.nearest(few, few).count() == 12  # all candidates, as there are fewer than 5
+
+
+def test_a_query_reads_past_the_beam(monkeypatch):
+    rows = ann.unit(np.random.default_rng(4).normal(size=(40, 8)))
+    index, held = ann.Index(*_index(rows)), np.ones(40, np.int64)
+    monkeypatch.setattr(ann.Index.search, "__defaults__", (4,))
+    for least, fewest in ((3, 3), (6, 6), (40, 40), (99, 40)):
+        row, where = ann.reads(index, rows, held, least)
+        assert len(set(zip(row, where))) == len(row) and np.bincount(row, minlength=40).min() >= fewest
+
+
+def _index(centroids):
+    n = len(centroids)
+    near = np.argsort(-(centroids @ centroids.T), axis=1, kind="stable")[:, 1:5]
+    return centroids, np.concatenate([near, ((np.arange(n) + 1) % n)[:, None]], axis=1), np.arange(0, n, 8)
