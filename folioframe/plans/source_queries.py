@@ -282,16 +282,28 @@ def session_state(spark, sf):
     return last.select("session_id", "s.*")
 
 
+RANGES = 4  # of steps, written one after another
+
+
 @register(
     "breaker_state",
     sql_walk("event_id") + f" SELECT CAST(run AS VARCHAR) AS run_id, event_id AS step, {STREAKS} FROM walk WHERE {TRIPPED}",
 )
 def breaker_state(spark, sf):
+    """Steps arrive in many files and several batches: ranges of steps one after another, a run of a range in one file."""
     _rocks(spark)
     rows = steps(spark, sf).select(
         F.col("run").cast("string").alias("run_id"), F.col("event_id").alias("step"), "success", "error_code", "tool_name"
     )
-    return _drain(flows.breaker_state(_stream_of(spark, rows, "breaker", 1)), spark, "append")
+    path = scratch(spark, "breaker") + "/in"
+    files = max(4, spark.sparkContext.defaultParallelism)
+    low, high = rows.agg(F.min("step"), F.max("step")).first()
+    width = ((high or 0) - (low or 0)) // RANGES + 1
+    for k in range(RANGES):  # a stream takes files by their time, so a later batch holds no earlier step of a run
+        part = rows.where(F.floor((F.col("step") - F.lit(low or 0)) / width) == k)
+        part.repartition(files, "run_id").write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
+    return _drain(flows.breaker_state(stream), spark, "append")
 
 
 

@@ -164,7 +164,10 @@ class BreakerProcessor(StatefulProcessor):
 
 
 def breaker_state(steps: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
-    """``steps``: run_id, step, success, error_code, tool_name -> steps that trip."""
+    """``steps``: run_id, step, success, error_code, tool_name -> steps that trip.
+
+    Within a batch steps may come in any order; a later batch holds later steps of a run.
+    """
     return steps.groupBy("run_id").transformWithStateInPandas(
         statefulProcessor=BreakerProcessor(limits),
         outputStructType="run_id string, step bigint, failures bigint, same_error bigint, same_tool bigint",
