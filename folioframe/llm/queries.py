@@ -13,6 +13,7 @@ from folioframe.llm import mixing as mx
 from folioframe.llm import ngram_join as nj
 from folioframe.llm import packing as pk
 from folioframe.llm import secrets as sx
+from folioframe.llm import source_audit as sa
 from folioframe.llm import suffix_dedup as sd
 from folioframe.llm import token_output as to
 from folioframe.llm.registry import register
@@ -152,3 +153,39 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@register(
+    "op11_source_divergence_audit",
+    r"""
+    WITH d AS (
+      SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+      FROM documents),
+    w AS (SELECT lang, source, id, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+    l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+    cell AS (
+      SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS ln
+      FROM g JOIN kept k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    p AS (
+      SELECT cell.*, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v)::HUGEINT AS p,
+             1 + (1000000000::HUGEINT * (ln + 5)) // (total + 5 * v)::HUGEINT AS q
+      FROM cell JOIN l USING (lang)),
+    pair AS (
+      SELECT a.lang, a.source, b.source AS item,
+             coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term
+                       WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+    term AS (SELECT lang, source, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q)
+    SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value,
+           (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pair
+    UNION ALL
+    SELECT lang, source, 'term', item, value::BIGINT,
+           (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS r FROM term QUALIFY r <= 50
+    """,
+)
+def op11_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sa.divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
