@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm import ann
+from folioframe.llm import conversation_repair as cr
 from folioframe.llm import exact_dedup as ex
 from folioframe.llm import language_id as li
 from folioframe.llm import line_dedup as ld
@@ -189,3 +190,8 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op11_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sa.divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+@register("op12_conversation_structure_repair")
+def op12_conversation_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cr.digests(cr.repair(cr.damaged(table(spark, sf_dir, "conversations"))))
