@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioframe.llm import ann
 from folioframe.llm import conversation_repair as cr
+from folioframe.llm import cover_search as cs
 from folioframe.llm import exact_dedup as ex
 from folioframe.llm import language_id as li
 from folioframe.llm import line_dedup as ld
@@ -195,3 +196,22 @@ def op11_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_conversation_structure_repair")
 def op12_conversation_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cr.digests(cr.repair(cr.damaged(table(spark, sf_dir, "conversations"))))
+
+
+@register(
+    "op13_exact_topk_search",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS y
+      FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT q.vec_id AS query_id, x.vec_id, list_sum(list_transform(list_zip(q.y, x.y), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v x ON q.vec_id % 50 = 0 AND x.vec_id <> q.vec_id)
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+    FROM s QUALIFY rank <= 5
+    """,
+)
+def op13_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return cs.top_products(vectors.where(F.col("vec_id") % 50 == 0), vectors, 5)
