@@ -177,7 +177,8 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
 
     kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("docs").alias("docs"))
     kept = kept.where(F.col("docs") >= LEAST_DOCS).withColumn("band", F.floor(F.log2("all")).cast("int"))
-    parts = kept.groupBy("lang", "band").agg(F.ceil(F.count("*") / BLOCK_TERMS).alias("parts"))
+    kept = stored(kept, "kept")  # so that the few bands come by a broadcast and a hot one is not dealt to one task
+    parts = stored(kept.groupBy("lang", "band").agg(F.ceil(F.count("*") / BLOCK_TERMS).alias("parts")), "bands")
     kept = kept.join(parts, ["lang", "band"]).withColumn("part", F.pmod(F.xxhash64("term"), "parts").cast("int"))
     place = Window.partitionBy("lang", "band", "part").orderBy("term")
     kept = kept.withColumn("id", F.row_number().over(place) - 1)
