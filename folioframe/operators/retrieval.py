@@ -16,55 +16,11 @@ from pyspark.sql import functions as F
 from folioframe import fixed_values as fx
 from folioframe.functions import scoring as sc
 from folioframe.functions import text as tx
+from folioframe.functions import vectors as vx
+from folioframe.operators.postings import Index, bm25_all, bm25_of, bm25_top, indexed, weights, with_block, word_grams, words_with
 from folioframe.session import reuse
 
-# --- substring lookup through the vocabulary ---------------------------------------------
-
-
-def _grams(c: Column, sizes: Column) -> Column:
-    """Distinct substrings of the given sizes."""
-    per_size = F.transform(
-        F.filter(sizes, lambda n: n <= F.length(c)),
-        lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)),
-    )
-    return F.array_distinct(F.flatten(per_size))
-
-
-def containing_terms(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(token, term) where the vocabulary term contains the token.
-
-    Both sides are distinct words.  Each token is looked up under its rarest
-    three-letter part, so a common part never brings all its words together.
-    """
-    sizes = F.array(*[F.lit(n) for n in (1, 2, 3)])
-    by_gram = vocabulary.select("term", F.explode(_grams(F.col("term"), sizes)).alias("gram"))
-    gram_df = by_gram.groupBy("gram").count()
-    own = F.array(F.least(F.lit(3), F.length("token")))
-    rarest = (
-        tokens.select("token", F.explode(_grams(F.col("token"), own)).alias("gram"))
-        .join(gram_df, "gram")
-        .groupBy("token")
-        .agg(F.min(F.struct("count", "gram"))["gram"].alias("gram"))
-    )
-    return rarest.join(by_gram, "gram").where(F.col("term").contains(F.col("token"))).select("token", "term")
-
-
-def token_rows(chunks: DataFrame, *cols: str, text_col: str = "content") -> DataFrame:
-    """One row per chunk and distinct token."""
-    return chunks.select(*cols, F.explode(F.array_distinct(tx.tokens(F.col(text_col)))).alias("term"))
-
-
-# --- corpus statistics -------------------------------------------------------------------
-
-
-def scope_frequencies(term_rows: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Chunks that hold a term, per visibility scope.
-
-    Counts are taken per (label, term) first, so the step over scopes works on the
-    vocabulary and not on the chunks.
-    """
-    per_label = term_rows.groupBy("label_id", "term").agg(F.count("*").alias("n"))
-    return per_label.join(scopes, "label_id").groupBy("scope_id", "term").agg(F.sum("n").alias("n"))
+# --- required tokens ---------------------------------------------------------------------
 
 
 def _token_forms(each: DataFrame) -> DataFrame:
@@ -85,57 +41,46 @@ def _token_forms(each: DataFrame) -> DataFrame:
     )
 
 
-def required_tokens(requests: DataFrame, chunks: DataFrame, scopes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def required_tokens(requests: DataFrame, chunks: DataFrame | Index, scopes: DataFrame) -> DataFrame:
     """Split the tokens of each request by what its visible chunks contain.
 
     A token no visible chunk contains is optional; when none is left all are
-    required.  Returns the requests with tokens, required, optional and anchor (the
-    rarest required token: every chunk that can satisfy the request is found under
-    it), and (anchor, term): the vocabulary words an anchor occurs in.  The vocabulary
-    counts and both results are read several times, so they are materialised.
-    """
-    seen = reuse(scope_frequencies(token_rows(chunks, "label_id"), scopes))
-    folded = seen.select("term").distinct().withColumn("folded", tx.lemma(F.col("term")))
+    required.  Returns the requests with tokens, required, optional and anchor: the
+    rarest required token, under which every chunk that can satisfy the request is found
+    (see :func:`anchor_words`).
 
+    All of it is read from the word tables of the index.  Tokens that are whole words need no lookup; those of two or three letters
+    become anchors only where a request has no longer one.
+    """
+    index = indexed(chunks)
     asked = requests.withColumn("tokens", tx.tokens(F.col("query")))
     asked = asked.withColumn("asked", F.filter("tokens", lambda t: ~t.isin(tx.alias_forms())))
     fence = F.col("token").isin("ограждение", "ограждения") & F.regexp_like("query", F.lit("(?iu)" + fx.FENCE_QUERY))
     each = asked.select(
         "trace_id", "scope_id", "query", F.explode(F.array_distinct("asked")).alias("token")
     ).select("trace_id", "scope_id", "token", fence.alias("fence"))
+    wanted = each.select("scope_id", "token", "fence").distinct()
+    visible = lambda rows: rows.join(scopes, ["scope_id", "label_id"], "left_semi")
+
+    # most tokens are themselves words that the scope holds, and need no lookup
+    as_word = wanted.where(_plain()).join(index.words, F.col("token") == F.col("term"))
+    as_word = visible(as_word).groupBy("scope_id", "token", "fence").agg(F.lit(True).alias("present"), F.sum("n").alias("cost"))
+    known = reuse(wanted.join(as_word, ["scope_id", "token", "fence"], "left"))  # a row a token and scope, read twice
+    as_word, unseen = known.where("present"), known.where("present is null").select("scope_id", "token", "fence")
+    forms = _token_forms(unseen)
+    matched = words_with(forms.select(F.col("word").alias("token")), index.grams).withColumnsRenamed({"token": "word", "term": "folded"})
+    literal = F.col("literal") & F.col("term").contains(F.col("form"))
+    held = forms.join(matched, "word").join(index.words, "folded").groupBy("token", "fence", "label_id", "term").agg(
+        F.bool_or(literal).alias("literal"), F.first("n").alias("n")
+    )
+    per_label = held.groupBy("token", "fence", "label_id").agg(F.bool_or("literal").alias("present"), F.sum("n").alias("cost"))
+    inside = visible(unseen.join(per_label, ["token", "fence"])).groupBy("scope_id", "token", "fence").agg(
+        F.bool_or("present").alias("present"), F.sum("cost").alias("cost")
+    )
+    # parts of many words are the last to become anchors
+    last = F.greatest(F.lit(4) - F.length("token"), F.lit(0)) * F.lit(10**12) + F.col("cost")
+    cost = as_word.unionByName(inside).withColumn("cost", F.when(_plain(), last).otherwise(F.col("cost")))
 
-    # a token of up to three letters is itself a word part: its frequency is a sum over
-    # parts, without listing the many words that hold it
-    short = (F.length("token") <= 3) & ~F.col("token").rlike("[её]") & ~F.col("fence")
-    short = short & ~F.col("token").isin(list(fx.SCAN_ALIASES))
-    parts = F.explode(_grams(F.col("term"), F.array(F.lit(1), F.lit(2), F.lit(3)))).alias("token")
-    short_cost = (
-        seen.select("scope_id", "n", parts)
-        .join(each.where(short).select("token").distinct(), "token")
-        .groupBy("scope_id", "token")
-        .agg(F.lit(True).alias("present"), F.sum("n").alias("cost"))
-        .withColumn("fence", F.lit(False))
-    )
-
-    forms = _token_forms(each.where(~short))
-    matched = containing_terms(
-        forms.select(F.col("word").alias("token")).distinct(), folded.select(F.col("folded").alias("term")).distinct()
-    ).select(F.col("token").alias("word"), F.col("term").alias("folded"))
-    terms = forms.join(matched, "word").join(folded, "folded").select(
-        "token", "fence", "term", (F.col("literal") & F.col("term").contains(F.col("form"))).alias("literal")
-    )
-    terms = reuse(terms.groupBy("token", "fence", "term").agg(F.bool_or("literal").alias("literal")))
-
-    cost = (
-        each.where(~short)
-        .select("scope_id", "token", "fence")
-        .distinct()
-        .join(terms, ["token", "fence"])
-        .join(seen, ["scope_id", "term"])
-        .groupBy("scope_id", "token", "fence")
-        .agg(F.bool_or("literal").alias("present"), F.sum("n").alias("cost"))
-        .unionByName(short_cost)
-    )
     key = F.struct("cost", F.struct("token", "fence").alias("anchor"))
     per_request = (
         each.join(cost, ["scope_id", "token", "fence"], "left")
@@ -155,71 +100,71 @@ def required_tokens(requests: DataFrame, chunks: DataFrame, scopes: DataFrame) -
     anchor = F.when(none_present, F.when(F.col("unseen") == 0, F.col("any_best.anchor"))).otherwise(
         F.col("best.anchor")
     )
-    out = asked.join(per_request, "trace_id", "left").select(
+    return asked.join(per_request, "trace_id", "left").select(
         *requests.columns,
         "tokens",
         required.alias("required"),
         F.array_except("asked", required).alias("optional"),
         anchor.alias("anchor"),
     )
-    out = reuse(out)
-    used = out.where(F.col("anchor").isNotNull()).select("anchor").distinct()
-    anchors = terms.select(F.struct("token", "fence").alias("anchor"), "term").join(used, "anchor", "left_semi")
-    short_used = used.select("anchor.token", "anchor.fence").where(short)
-    if not short_used.isEmpty():  # requests made of short tokens only
-        found = containing_terms(short_used.select("token"), folded.select("term"))
-        anchors = anchors.unionByName(
-            found.select(F.struct("token", F.lit(False).alias("fence")).alias("anchor"), "term")
-        )
-    return out, reuse(anchors)
 
 
-def candidates(asked: DataFrame, anchor_terms: DataFrame, chunks: DataFrame, scopes: DataFrame) -> DataFrame:
-    """(trace_id, chunk_id) of visible chunks found under a request's anchor."""
-    anchors = (
-        asked.where(F.col("anchor").isNotNull())
-        .select("trace_id", "scope_id", "anchor")
-        .join(anchor_terms, "anchor")
-        .join(scopes, "scope_id")
-        .select("trace_id", "label_id", "term")
-    )
-    found = token_rows(chunks, "chunk_id", "label_id").join(anchors, ["label_id", "term"])
-    by_token = found.select("trace_id", "chunk_id").distinct()
-    without = asked.where(F.size("tokens") == 0)
-    if without.isEmpty():  # the usual case: no second pass over the text
-        return by_token
-    return by_token.unionByName(phrase_candidates(without, chunks, scopes))
+def anchor_words(asked: DataFrame, index: Index) -> DataFrame:
+    """(anchor, term): the folded words of the corpus that an anchor or a form of it occurs in."""
+    used = asked.where(F.col("anchor").isNotNull()).select("anchor.token", "anchor.fence").distinct()
+    forms = _token_forms(used)
+    found = words_with(forms.select(F.col("word").alias("token")), index.grams).withColumnRenamed("token", "word")
+    return forms.join(found, "word").select(F.struct("token", "fence").alias("anchor"), "term").distinct()
 
 
-def phrase_candidates(requests: DataFrame, chunks: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Candidates of requests without any token, found under the first two characters."""
-    q = F.lower(tx.strip(F.col("query")))
-    lead = F.substring(q, 1, 2)
-    asked = (
-        requests.where(q != "")
-        .select("trace_id", "scope_id", q.alias("phrase"), lead.alias("gram"))
-        .join(scopes, "scope_id")
-    )
-    low = F.lower(F.col("content"))
-    grams = chunks.select(
-        "chunk_id", "label_id", "content", F.explode(_grams(low, F.array(F.lit(1), F.lit(2)))).alias("gram")
-    )
-    return (
-        grams.join(asked, ["label_id", "gram"])
-        .where(F.lower("content").contains(F.col("phrase")))
-        .select("trace_id", "chunk_id")
-        .distinct()
+def _plain() -> Column:
+    """Tokens without other forms."""
+    return ~F.col("fence") & ~F.col("token").isin(list(fx.SCAN_ALIASES))
+
+
+def candidates(asked: DataFrame, index: Index, scopes: DataFrame) -> DataFrame:
+    """(trace_id, chunk_id, label_id, block) of visible chunks found under a request's anchor."""
+    anchored = asked.where(F.col("anchor").isNotNull()).select("trace_id", "scope_id", "anchor")
+    anchors = anchored.join(anchor_words(asked, index), "anchor").select("trace_id", "scope_id", "term").distinct()
+    # written, so that its true size decides how it meets the postings: a small set is
+    # broadcast and no list is shuffled
+    anchors = reuse(anchors)
+    found = anchors.join(index.postings.select("term", "label_id", "block", "entries"), "term")
+    found = found.join(scopes, ["scope_id", "label_id"], "left_semi")
+    found = found.select("trace_id", F.explode("entries.chunk_id").alias("chunk_id"), "label_id", "block")
+    return found.unionByName(phrase_candidates(asked.where(F.size("tokens") == 0), index, scopes)).distinct()
+
+
+def phrase_candidates(requests: DataFrame, index: Index, scopes: DataFrame) -> DataFrame:
+    """Candidates of requests without any token: visible chunks with the phrase's last character of the alphabet.
+
+    The characters wanted are found first; if there are none no text is read.
+    """
+    letters = lambda c: F.array_distinct(F.split(c, ""))
+    phrase = F.lower(tx.strip(F.col("query")))
+    asked = requests.where(phrase != "").select("trace_id", "scope_id", F.array_max(letters(phrase)).alias("letter"))
+    wanted = asked.agg(F.collect_set("letter").alias("w")).scalar()
+    seen = index.chunks.where(F.size(wanted) > 0).select(
+        "chunk_id", "label_id", F.explode(F.array_intersect(letters(F.lower("content")), wanted)).alias("letter")
     )
+    found = seen.join(asked, "letter").join(scopes, ["scope_id", "label_id"], "left_semi")
+    return with_block(found.select("trace_id", "chunk_id", "label_id"), index.totals)
+
 
+def token_tested(asked: DataFrame, index: Index, scopes: DataFrame, within: DataFrame | None = None) -> DataFrame:
+    """Visible (request, chunk) pairs with their text that hold all required tokens.
 
-def token_tested(asked: DataFrame, anchor_terms: DataFrame, chunks: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Visible (request, chunk) pairs with their text that hold all required tokens."""
+    ``within`` (trace_id, chunk_id) limits them before any text is read.
+    """
     # materialised, so that its true size decides how the text is joined: a small set
     # is broadcast and the text is not shuffled
-    pairs = reuse(candidates(asked, anchor_terms, chunks, scopes))
-    rows = pairs.join(asked.select("trace_id", "query", "tokens", "required"), "trace_id").join(chunks, "chunk_id")
-    # the text of candidates only is analysed
-    rows = rows.withColumn("_lemmas", F.array_distinct(tx.lemmas(F.col("content"))))
+    found = candidates(asked, index, scopes)
+    if within is not None:
+        found = found.join(within, ["trace_id", "chunk_id"], "left_semi")
+    pairs = reuse(found.join(asked.select("trace_id", "query", "tokens", "required"), "trace_id"))
+    lemmas = F.array_distinct(F.transform("raw", tx.lemma)).alias("_lemmas")
+    analysed = index.analysed.select("chunk_id", lemmas)
+    rows = pairs.join(analysed, "chunk_id").join(index.chunks.drop("label_id"), "chunk_id")
     must_lemmas = tx.lemmas(F.concat_ws(" ", "required"))
     ok = ~_needs_all() | tx.all_tokens_in_text(F.col("required"), must_lemmas, F.col("content"), F.col("_lemmas"))
     return rows.where(ok)
@@ -240,20 +185,21 @@ def _keyword_scores(tested: DataFrame, literal_only: bool, scorer=None) -> DataF
 
 def keyword_matches(
     requests: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | Index,
     scopes: DataFrame,
     literal_only: bool = False,
-    analysed: tuple[DataFrame, DataFrame] | None = None,
     scorer=None,
+    within: DataFrame | None = None,
 ) -> DataFrame:
     """Scored (request, chunk) pairs that hold all required tokens.
 
     ``literal_only`` also demands the literal prefilter of the full-text scan.
-    ``analysed`` passes on the outcome of :func:`required_tokens`.  ``scorer`` is a column
-    function of query and content in place of the match score.
+    ``scorer`` is a column function of query and content in place of the match score.
+    ``within`` (trace_id, chunk_id) names the pairs that may be scored at all.
     """
-    asked, anchor_terms = analysed or required_tokens(requests, chunks, scopes)
-    return _keyword_scores(token_tested(asked, anchor_terms, chunks, scopes), literal_only, scorer)
+    index = indexed(chunks)
+    asked = reuse(required_tokens(requests, index, scopes))
+    return _keyword_scores(token_tested(asked, index, scopes, within), literal_only, scorer)
 
 
 def rank_by_score(df: DataFrame, group: list[str], k: int | None = None, score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -266,78 +212,23 @@ def rank_by_score(df: DataFrame, group: list[str], k: int | None = None, score:
 # --- BM25 and fusion ---------------------------------------------------------------------
 
 
-def _terms() -> Column:
-    terms = tx.lemmas(F.col("content"))
-    return F.when(F.size(terms) > 0, terms).otherwise(F.array(F.lit("_")))
-
-
-def bm25_idf(
-    chunks: DataFrame, scopes: DataFrame, epsilon: float = fx.BM25_EPSILON
-) -> DataFrame:
-    """(scope_id, term, idf, avgdl): negative idf becomes ``epsilon`` times the mean idf."""
-    termed = chunks.select("label_id", _terms().alias("terms"))
-    totals = (
-        termed.groupBy("label_id")
-        .agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("len"))
-        .join(scopes, "label_id")
-        .groupBy("scope_id")
-        .agg(F.sum("n").alias("n_chunks"), F.sum("len").alias("total_len"))
-    )
-    df = scope_frequencies(
-        termed.select("label_id", F.explode(F.array_distinct("terms")).alias("term")), scopes
-    )
-    raw = df.join(totals, "scope_id").withColumn(
-        "raw", F.log(F.col("n_chunks") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
-    )
-    mean = raw.groupBy("scope_id").agg(F.avg("raw").alias("mean_idf"))
-    return raw.join(mean, "scope_id").select(
-        "scope_id",
-        "term",
-        F.when(F.col("raw") < 0, F.col("mean_idf") * epsilon).otherwise(F.col("raw")).alias("idf"),
-        (F.col("total_len") / F.col("n_chunks")).alias("avgdl"),
-    )
-
-
 def bm25(
     requests: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | Index,
     scopes: DataFrame,
     pool: int | None = None,
     k1: float = fx.BM25_K1,
     b: float = fx.BM25_B,
 ) -> DataFrame:
-    """Okapi scores above zero, with statistics of the requester's visible chunks.
+    """Ranked Okapi scores above zero, with statistics of the requester's visible chunks.
 
-    Only postings of asked terms leave the scan; term frequencies are combined per
-    chunk before they meet the requests.
+    With ``pool`` only blocks that can still reach a request's list are opened.
     """
-    q = tx.lemmas(F.col("query"))
-    q = F.when(F.size(q) > 0, q).otherwise(F.array(F.lower("query")))
-    asked = requests.select("trace_id", "scope_id", F.explode(q).alias("term")).groupBy(
-        "trace_id", "scope_id", "term"
-    ).agg(F.count("*").alias("qtf"))
-    weights = (
-        asked.join(bm25_idf(chunks, scopes), ["scope_id", "term"])
-        .join(scopes, "scope_id")
-        .select("trace_id", "label_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "avgdl")
-    )
-    hits = (
-        chunks.select("chunk_id", "label_id", _terms().alias("terms"))
-        .select("chunk_id", "label_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-        .join(asked.select("term").distinct(), "term", "left_semi")
-        .groupBy("chunk_id", "label_id", "dl", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    part = F.col("weight") * (
-        F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    )
-    scores = (
-        hits.join(weights, ["label_id", "term"])
-        .groupBy("trace_id", "chunk_id")
-        .agg(F.round(F.sum(part), 6).alias("score"))
-        .where("score > 0")
-    )
-    return rank_by_score(scores, ["trace_id"], pool)
+    index = indexed(chunks)
+    words = weights(requests, index, scopes)
+    if pool:
+        return bm25_top(words, index, scopes, pool, k1, b)
+    return rank_by_score(bm25_all(words, index, scopes, k1, b), ["trace_id"])
 
 
 def rrf(ranked: DataFrame, group: list[str], top_k: int | None = None, k: int = fx.RRF_K, tie: str = "chunk_id") -> DataFrame:
@@ -346,28 +237,34 @@ def rrf(ranked: DataFrame, group: list[str], top_k: int | None = None, k: int =
     return rank_by_score(fused, group, top_k, tie=tie)
 
 
-def fulltext_hybrid(requests: DataFrame, chunks: DataFrame, scopes: DataFrame, pool: int = 64) -> DataFrame:
+def fulltext_hybrid(requests: DataFrame, chunks: DataFrame | Index, scopes: DataFrame, pool: int = 64) -> DataFrame:
     """Keyword ranking and BM25, fused by rank.
 
     The token test comes first: both lists are ranked and cut to ``pool`` among chunks
-    that pass it, so no match is lost because chunks that fail it rank higher.
+    that pass it, so no match is lost because chunks that fail it rank higher.  Only
+    requests that need no test rank the whole index by BM25.
     """
-    asked, anchor_terms = required_tokens(requests, chunks, scopes)
-    tested = token_tested(asked, anchor_terms, chunks, scopes)
-    keyword = rank_by_score(_keyword_scores(tested, True), ["trace_id"], pool)
-    scores = bm25(requests, chunks, scopes).drop("rank")
-    passed = tested.select("trace_id", "chunk_id").distinct().withColumn("_passed", F.lit(True))
-    free = asked.select("trace_id", (~_needs_all()).alias("_free"))
-    kept = scores.join(free, "trace_id").join(passed, ["trace_id", "chunk_id"], "left").where("_free or _passed")
-    best = rank_by_score(kept, ["trace_id"], pool)
-    lists = keyword.select("trace_id", "chunk_id", "rank").unionByName(best.select("trace_id", "chunk_id", "rank"))
+    index = indexed(chunks)
+    asked = reuse(required_tokens(requests, index, scopes))
+    tested = token_tested(asked, index, scopes)
+    whole = tx.literal_prefilter(F.col("query"), F.col("content"))
+    score = F.round(sc.match_score(F.col("query"), F.col("content"), F.col("_lemmas")), 6)
+    tested = tested.select("trace_id", "chunk_id", "label_id", "block", _needs_all().alias("tested"), whole.alias("whole"), score.alias("score"))
+    tested = reuse(tested)
+    keyword = rank_by_score(tested.where("whole and score > 0"), ["trace_id"], pool)
+    words = weights(requests, index, scopes)
+    scored = rank_by_score(bm25_of(tested.where("tested"), words, index), ["trace_id"], pool)
+    free = asked.where(~_needs_all()).select("trace_id")
+    best = bm25_top(words.join(free, "trace_id", "left_semi"), index, scopes, pool)
+    cols = ["trace_id", "chunk_id", "rank"]
+    lists = keyword.select(*cols).unionByName(scored.select(*cols)).unionByName(best.select(*cols))
     return rrf(lists, ["trace_id"], pool)
 
 
 # --- the request -> results operator -----------------------------------------------------
 
 
-def rag_search(requests: DataFrame, chunks: DataFrame, scopes: DataFrame, top_k: int = 8) -> DataFrame:
+def rag_search(requests: DataFrame, chunks: DataFrame | Index, scopes: DataFrame, top_k: int = 8) -> DataFrame:
     """Ranked results: trace_id, rank, chunk_id, doc_id, score, snippet."""
     return rank_by_score(keyword_matches(requests, chunks, scopes), ["trace_id"], top_k).select(
         "trace_id",
@@ -384,7 +281,7 @@ def search_response(
     requests: DataFrame,
     users: DataFrame,
     access: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | Index,
     top_k: int = 8,
     scorer=None,
     rerank: bool = True,
@@ -412,7 +309,9 @@ def search_response(
     )
     by_user, scopes = se.visibility_scopes(access)
     open_ = asked.where(~F.col("denied_by_policy")).join(by_user, "employee_id").select("trace_id", "query", "scope_id")
-    pool = rank_by_score(keyword_matches(open_, chunks, scopes, scorer=scorer), ["trace_id"], 4 * top_k)
+    index = indexed(chunks)
+    chunks = index.chunks
+    pool = rank_by_score(keyword_matches(open_, index, scopes, scorer=scorer), ["trace_id"], 4 * top_k)
     pool = pool.withColumns({"score": F.round("score", 4), "snippet": F.substring("content", 1, 280)})
     ranked = quality_rerank(pool, top_k, script) if rerank else pool.where(F.col("rank") <= top_k)
     ranked = ranked.select("trace_id", "chunk_id", "rank", "score")
@@ -461,22 +360,29 @@ def expand_queries(requests: DataFrame, max_variants: int = 4) -> DataFrame:
 
 
 def rag_fusion(
-    requests: DataFrame, chunks: DataFrame, scopes: DataFrame, top_k: int = 8, pool: int = 64
+    requests: DataFrame, chunks: DataFrame | Index, scopes: DataFrame, top_k: int = 8, pool: int = 64
 ) -> DataFrame:
     """Hybrid search for every variant, fused, then the final search in the fused set."""
+    index = indexed(chunks)
     variants = expand_queries(requests).withColumn(
         "_trace", F.col("trace_id")
     ).withColumn("trace_id", F.concat_ws("#", F.col("trace_id"), F.col("variant")))
-    lists = fulltext_hybrid(variants.select("trace_id", "query", "scope_id"), chunks, scopes, pool).select(
+    lists = fulltext_hybrid(variants.select("trace_id", "query", "scope_id"), index, scopes, pool).select(
         F.substring_index("trace_id", "#", 1).alias("trace_id"), "chunk_id", "rank"
     )
     fused = rrf(lists, ["trace_id"], pool).select("trace_id", "chunk_id")
     final = rank_by_score(
-        keyword_matches(requests, chunks, scopes).join(fused, ["trace_id", "chunk_id"], "left_semi"), ["trace_id"], top_k
+        keyword_matches(requests, index, scopes).join(fused, ["trace_id", "chunk_id"], "left_semi"), ["trace_id"], top_k
     )
     return final.select("trace_id", "rank", "chunk_id", "doc_id", F.round("score", 4).alias("score"))
 
 
+def repeats_document() -> Column:
+    """Whether a result follows a better ranked one of the same document."""
+    seen = F.row_number().over(Window.partitionBy("trace_id", "doc_id").orderBy("rank")) > 1
+    return seen & (F.coalesce("doc_id", F.lit("")) != "")
+
+
 def quality_rerank(results: DataFrame, top_k: int = 8, script: str = "[а-яёА-ЯЁ]") -> DataFrame:
     """Order results again by quality and overlap of their snippets.
 
@@ -488,8 +394,7 @@ def quality_rerank(results: DataFrame, top_k: int = 8, script: str = "[а-яёА
     keep = (F.size(toks) < 2) | tx.all_tokens_in_text(toks, tx.lemmas(q), s, tx.lemmas(s))
     quality = tx.text_quality(s, script)
     ok = keep & (quality >= 0.12)
-    seen = F.row_number().over(Window.partitionBy("trace_id", "doc_id").orderBy("rank")) > 1
-    kept = results.where(ok).withColumn("_repeat", seen & (F.coalesce("doc_id", F.lit("")) != ""))
+    kept = results.where(ok).withColumn("_repeat", repeats_document())
     kept = kept.withColumn(
         "score", F.round(sc.rerank_score(F.col("score"), quality, sc.match_score(q, s), F.col("_repeat")), 4)
     )
@@ -524,7 +429,7 @@ def _any_token_pairs(asked: DataFrame, docs: DataFrame, key: str, words: Column)
     """
     word_rows = docs.select(key, F.explode(F.array_distinct(words)).alias("term"))
     vocabulary = word_rows.select("term").distinct()
-    matched = containing_terms(asked.select("token").distinct(), vocabulary)
+    matched = words_with(asked.select("token"), word_grams(vocabulary))
     by_term = asked.join(matched, "token").select("trace_id", "term").distinct()
     return word_rows.join(by_term, "term").select("trace_id", key).distinct()
 
@@ -554,7 +459,7 @@ def path_search(requests: DataFrame, manifest: DataFrame, limit: int = 10, hot_r
         "relative_path", F.explode(F.array_distinct(F.split(F.lower("relative_path"), r"\s+|/"))).alias("term")
     )
     frequency = reuse(words.groupBy("term").agg(F.count("*").alias("n")))
-    matched = reuse(containing_terms(tokens.select("token").distinct(), frequency))
+    matched = reuse(words_with(tokens.select("token"), word_grams(frequency)))
     weight = matched.join(frequency, "term").groupBy("token").agg((F.sum("n") > hot_rows).alias("hot"))
     hot = weight.where("hot").select("token")
 
@@ -666,7 +571,7 @@ def doc_chunks(targets: DataFrame, chunks: DataFrame) -> DataFrame:
         F.transform(F.split("t_path", "/"), lambda p: F.struct(F.length(p).alias("n"), p.alias("p")))
     )["p"]
     keyed = want.where("t_path <> ''").withColumn("token", longest)
-    matched = containing_terms(keyed.select("token").distinct(), pieces.select("term").distinct())
+    matched = words_with(keyed.select("token"), word_grams(pieces.select("term").distinct()))
     hit_paths = (
         keyed.join(matched, "token")
         .join(pieces, "term")
@@ -679,18 +584,23 @@ def doc_chunks(targets: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def scoped_search(
-    requests: DataFrame, paths: DataFrame, chunks: DataFrame, scopes: DataFrame, top_k: int = 8
+    requests: DataFrame, paths: DataFrame, chunks: DataFrame | Index, scopes: DataFrame, top_k: int = 8
 ) -> DataFrame:
-    """Search only in the files named for each request (``paths``: trace_id, relative_path)."""
+    """Search only in the files named for each request (``paths``: trace_id, relative_path).
+
+    The files select the pairs that are scored; what is required of a chunk still follows
+    from all that the requester sees.
+    """
+    index = indexed(chunks)
     targets = paths.select(
         F.concat_ws("\u0001", "trace_id", "relative_path").alias("target_id"),
         F.lit(None).cast("string").alias("doc_id"),
         "relative_path",
     )
-    allowed = doc_chunks(targets, chunks).select(
+    allowed = doc_chunks(targets, index.chunks).select(
         F.substring_index("target_id", "\u0001", 1).alias("trace_id"), "chunk_id"
     ).distinct()
-    matches = keyword_matches(requests, chunks, scopes).join(allowed, ["trace_id", "chunk_id"], "left_semi")
+    matches = keyword_matches(requests, index, scopes, within=allowed)
     return rank_by_score(matches, ["trace_id"], top_k).select("trace_id", "rank", "chunk_id", F.round("score", 4).alias("score"))
 
 
@@ -758,6 +668,38 @@ def merge_path_matches(
     return out.select("trace_id", "position", "relative_path", "number_score", "part")
 
 
+def hit_counts(requests: DataFrame, merged: DataFrame, file_list: Column | None = None) -> DataFrame:
+    """Content and path-only hits of each request, and the mode its answer comes from.
+
+    ``merged``: the result of :func:`merge_path_matches` (part 0 content, 1 path only).
+    ``file_list``: which requests only ask for files.
+    """
+    count = lambda part: F.count(F.when(F.col("part") == part, 1))
+    hits = merged.groupBy("trace_id").agg(count(0).alias("content_hits"), count(1).alias("path_only_hits"))
+    out = requests.join(hits, "trace_id", "left").fillna(0, ["content_hits", "path_only_hits"])
+    only_paths = (F.col("path_only_hits") > 0) & (F.col("content_hits") == 0)
+    mode = F.when(F.lit(False) if file_list is None else file_list, "file_list").when(only_paths, "path_only").otherwise("content")
+    return out.select("trace_id", "content_hits", "path_only_hits", mode.alias("search_mode"))
+
+
+def hybrid_search(requests: DataFrame, chunks: DataFrame | Index, scopes: DataFrame, top_k: int = 8, weight: float = 0.5) -> DataFrame:
+    """Keyword matches ranked by their keyword score and the cosine of query and content together.
+
+    Every match is scored, none is cut before: a chunk that is weak in words can be first
+    by meaning.
+    """
+    index = indexed(chunks)
+    matches = keyword_matches(requests, index, scopes)
+    # one vector a request and a chunk, not one a pair
+    asked = requests.select("trace_id", vx.hash_embedding(F.col("query")).alias("_q"))
+    found = matches.select("chunk_id").distinct().join(index.chunks, "chunk_id").select("chunk_id", vx.hash_embedding(F.col("content")).alias("_c"))
+    rows = matches.select("trace_id", "chunk_id", "doc_id", F.col("score").alias("keyword")).join(asked, "trace_id").join(found, "chunk_id")
+    cosine = F.round(vx.cosine(F.col("_q"), F.col("_c")), 6)
+    rows = rows.select("trace_id", "chunk_id", "doc_id", "keyword", cosine.alias("cosine"))
+    score = F.round(sc.hybrid_score(F.col("keyword"), F.col("cosine"), weight), 6)
+    return rank_by_score(rows.withColumn("score", score), ["trace_id"], top_k)
+
+
 def merge_citations(citations: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """Drop blanks and repeats (same source, length and first 120 characters); preview first."""
     snippet = tx.strip(F.coalesce("snippet", F.lit("")))

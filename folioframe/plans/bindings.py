@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioframe.functions import text as tx
 from folioframe.operators import chunking as ch
+from folioframe.operators import postings as po
 from folioframe.operators import security as se
-from folioframe.session import spread
+from folioframe.session import reuse, spread
 
 LATIN = "[a-zA-ZÀ-ÿ]"
 AS_OF = "2025-09-10"
@@ -96,6 +98,17 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.build_chunks(docs).withColumn("label_id", se.label_id())
 
 
+_indexes: dict[tuple[str, str], po.Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> po.Index:
+    """The search index of the chunks, built once by a session for each folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = po.build_index(chunks(spark, sf_dir))
+    return _indexes[key]
+
+
 def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _n()
     return table(spark, sf_dir, "documents").select("source").distinct().select(
@@ -124,19 +137,48 @@ def requests(spark: SparkSession, sf_dir: str, with_user: bool = True) -> tuple[
     people = F.array(*[F.lit(u[0]) for u in USERS])
     asked = bench.select("item_id", F.col("text").alias("query"), F.explode(people).alias("employee_id"))
     trace = F.concat_ws(":", F.col("item_id"), F.col("employee_id"))
-    return asked.join(by_user, "employee_id").select(trace.alias("trace_id"), "query", "scope_id"), by_label
+    asked = asked.join(by_user, "employee_id").select(trace.alias("trace_id"), "query", "scope_id")
+    return reuse(asked), reuse(by_label)
 
 
 def open_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every benchmark passage asked once, with one scope that sees all labels."""
-    scopes = se.labels_of(documents(spark, sf_dir)).select(F.lit(0).cast("bigint").alias("scope_id"), "label_id")
+    """Every benchmark passage asked once, with one scope that sees all labels.
+
+    Both sides compute the scope from their rows: a literal would be folded away, and the
+    joins on it would become products.
+    """
+    same = lambda c: (F.length(F.col(c).cast("string")) * 0).cast("bigint").alias("scope_id")
+    scopes = se.labels_of(documents(spark, sf_dir)).select(same("label_id"), "label_id")
     bench = table(spark, sf_dir, "benchmark")
-    return (
-        bench.select(
-            F.col("item_id").cast("string").alias("trace_id"), F.col("text").alias("query"), F.lit(0).cast("bigint").alias("scope_id")
-        ),
-        scopes,
-    )
+    asked = bench.select(F.col("item_id").cast("string").alias("trace_id"), F.col("text").alias("query"), same("item_id"))
+    return asked, reuse(scopes)
+
+
+SHORT = (1, 2, 4, 8)
+
+
+def _short_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first words of every benchmark passage as requests of their own: frequent words, few of them."""
+    words = F.split(tx.strip(F.col("text")), r"\s+")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.array_join(F.slice(words, 1, n), " ").alias("query")) for n in SHORT]))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", each.alias("s"))
+    return rows.select((F.col("item_id") * 10 + F.col("s.n")).alias("item_id"), "s.query")
+
+
+def short_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(requests, scopes): short requests asked by every user; one that may see nothing has a null scope."""
+    by_user, by_label = se.visibility_scopes(access(spark, sf_dir))
+    people = F.array(*[F.lit(u[0]) for u in USERS])
+    asked = _short_texts(spark, sf_dir).select("*", F.explode(people).alias("employee_id")).join(by_user, "employee_id", "left")
+    trace = F.concat_ws(":", F.col("item_id"), F.col("employee_id"))
+    return reuse(asked.select(trace.alias("trace_id"), "query", "scope_id")), reuse(by_label)
+
+
+def open_short_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Short requests asked once, with the scope that sees all labels."""
+    _, scopes = open_requests(spark, sf_dir)
+    zero = (F.col("item_id") * 0).alias("scope_id")
+    return reuse(_short_texts(spark, sf_dir).select(F.col("item_id").cast("string").alias("trace_id"), "query", zero)), scopes
 
 
 # --- the same derivations for DuckDB -------------------------------------------------------
@@ -166,6 +208,10 @@ chunks AS (
        ELSE CAST(ceil((length(body) - 1024) / 896.0) AS BIGINT) + 1 END)) t(i)
   WHERE body <> '')
 """
+SQL_SHORT = r"""
+short AS (SELECT item_id * 10 + n AS item_id, array_to_string(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')[1:n], ' ') AS text
+          FROM benchmark, (VALUES (1), (2), (4), (8)) t(n))
+"""
 SQL_FOLDERS = r"""
 folders AS (
   SELECT 'folder_' || n AS folder_id, CASE WHEN n % 2 = 0 THEN 'sharepoint' ELSE 'local' END AS storage_backend,

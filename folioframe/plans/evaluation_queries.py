@@ -13,6 +13,7 @@ from folioframe.operators import retrieval as rt
 from folioframe.plans import bindings as b
 from folioframe.plans.registry import register
 from folioframe.plans.retrieval_queries import BM25, MATCHES, OPEN_ASKS, REQUIRED, T2, _rank
+from folioframe.session import reuse
 from folioframe.plans.text_queries import _INTENT_HEADS, _INTENTS, _pick, _sql_pick
 
 
@@ -38,7 +39,7 @@ _NUM = "regexp_matches(nm, '(№|#|^|[^a-zA-Z0-9_])' || digits || '([^a-zA-Z0-9]
 def results(spark, sf, k=5):
     asks, scopes = b.open_requests(spark, sf)
     chunks = b.chunks(spark, sf)
-    top = rt.bm25(asks, chunks, scopes, pool=k)
+    top = reuse(rt.bm25(asks, b.index(spark, sf), scopes, pool=k))  # few rows: the texts are not shuffled for them
     cols = chunks.select(
         "chunk_id", "doc_id", F.col("source_relative_path").alias("relative_path"),
         tx.base_name(F.col("source_relative_path")).alias("file_name"), F.substring("content", 1, 280).alias("snippet"),
@@ -118,8 +119,8 @@ def variant_compare(spark, sf):
     asks, scopes = b.open_requests(spark, sf)
     chunks = b.chunks(spark, sf)
     cols = ["trace_id", "rank", "score"]
-    first = rt.bm25(asks, chunks, scopes, pool=3).select(*cols, F.lit("bm25").alias("variant"))
-    second = rt.rank_by_score(rt.keyword_matches(asks, chunks, scopes), ["trace_id"], 3).select(*cols, F.lit("keyword").alias("variant"))
+    first = rt.bm25(asks, b.index(spark, sf), scopes, pool=3).select(*cols, F.lit("bm25").alias("variant"))
+    second = rt.rank_by_score(rt.keyword_matches(asks, b.index(spark, sf), scopes), ["trace_id"], 3).select(*cols, F.lit("keyword").alias("variant"))
     return ev.compare_variants(first.unionByName(second), ["bm25", "keyword"])
 
 

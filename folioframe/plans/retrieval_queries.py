@@ -39,6 +39,17 @@ req AS (SELECT tk.*, CASE WHEN len(toks) < 2 OR p IS NULL THEN toks
 """
 
 
+#: The same for the first 1, 2, 4 and 8 words of each passage, and for every user.
+OPEN_SHORT = b.SQL_SHORT + """,
+asks AS (SELECT CAST(item_id AS VARCHAR) AS trace_id, '0' AS sk, text AS q FROM short),
+vis AS (SELECT '0' AS sk, chunk_id FROM chunks)
+"""
+USER_SHORT = b.sql_visible() + ", " + b.SQL_SHORT + """,
+asks AS (SELECT item_id || ':' || employee_id AS trace_id, employee_id AS sk, text AS q FROM short, users),
+vis AS (SELECT employee_id AS sk, chunk_id FROM visible)
+"""
+
+
 def sql_match_score(q: str, c: str) -> str:
     toks = f"regexp_extract_all(lower({q}), '{T2}')"
     spelled = f"regexp_extract_all({q}, '[а-яёА-ЯЁa-zA-Z0-9]{{2,}}')"
@@ -109,7 +120,7 @@ def _with(*parts: str) -> str:
 )
 def match_score(spark, sf):
     asks, scopes = b.open_requests(spark, sf)
-    return rt.keyword_matches(asks, b.chunks(spark, sf), scopes).select("trace_id", "chunk_id", "score")
+    return rt.keyword_matches(asks, b.index(spark, sf), scopes).select("trace_id", "chunk_id", "score")
 
 
 @register(
@@ -132,7 +143,7 @@ def match_score_same_source(spark, sf):
 )
 def required_optional_tokens(spark, sf):
     asks, scopes = b.requests(spark, sf)
-    asked, _ = rt.required_tokens(asks, b.chunks(spark, sf), scopes)
+    asked = rt.required_tokens(asks, b.index(spark, sf), scopes)
     words = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), " ").alias(c)
     return asked.select("trace_id", words("required"), words("optional"))
 
@@ -144,7 +155,7 @@ def required_optional_tokens(spark, sf):
 )
 def all_tokens_filter(spark, sf):
     asks, scopes = b.open_requests(spark, sf)
-    rows = rt.keyword_matches(asks, b.chunks(spark, sf), scopes)
+    rows = rt.keyword_matches(asks, b.index(spark, sf), scopes)
     return rows.groupBy("trace_id").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("docs"))
 
 
@@ -157,7 +168,7 @@ def all_tokens_filter(spark, sf):
 )
 def query_chunk_candidates(spark, sf):
     asks, scopes = b.requests(spark, sf)
-    rows = rt.keyword_matches(asks, b.chunks(spark, sf), scopes)
+    rows = rt.keyword_matches(asks, b.index(spark, sf), scopes)
     return rows.where(F.size(tx.tokens(F.col("query"))) >= 2).select("trace_id", "chunk_id")
 
 
@@ -168,7 +179,7 @@ def query_chunk_candidates(spark, sf):
 )
 def bm25(spark, sf):
     asks, scopes = b.open_requests(spark, sf)
-    return rt.bm25(asks, b.chunks(spark, sf), scopes, pool=20)
+    return rt.bm25(asks, b.index(spark, sf), scopes, pool=20)
 
 
 @register(
@@ -178,7 +189,7 @@ def bm25(spark, sf):
 )
 def bm25_by_scope(spark, sf):
     asks, scopes = b.requests(spark, sf)
-    return rt.bm25(asks, b.chunks(spark, sf), scopes, pool=5)
+    return rt.bm25(asks, b.index(spark, sf), scopes, pool=5)
 
 
 @register(
@@ -195,7 +206,7 @@ def bm25_by_scope(spark, sf):
 def rrf(spark, sf):
     asks, scopes = b.open_requests(spark, sf)
     chunks = b.chunks(spark, sf)
-    first = rt.bm25(asks, chunks, scopes, pool=30).select("trace_id", "chunk_id", "rank")
+    first = rt.bm25(asks, b.index(spark, sf), scopes, pool=30).select("trace_id", "chunk_id", "rank")
     by_len = first.drop("rank").join(chunks.select("chunk_id", F.length("content").alias("n")), "chunk_id")
     second = rt.rank_by_score(by_len, ["trace_id"], score="n").select("trace_id", "chunk_id", "rank")
     return rt.rrf(first.unionByName(second), ["trace_id"], 10)
@@ -207,7 +218,7 @@ def rrf(spark, sf):
 )
 def fulltext_hybrid(spark, sf):
     asks, scopes = b.requests(spark, sf)
-    return rt.fulltext_hybrid(asks, b.chunks(spark, sf), scopes)
+    return rt.fulltext_hybrid(asks, b.index(spark, sf), scopes)
 
 
 SEARCH = f"""
@@ -224,7 +235,7 @@ results AS (SELECT trace_id, rank, chunk_id, doc_id, round(score, 4) AS score, c
 )
 def rag_search(spark, sf):
     asks, scopes = b.requests(spark, sf)
-    return rt.rag_search(asks, b.chunks(spark, sf), scopes)
+    return rt.rag_search(asks, b.index(spark, sf), scopes)
 
 
 @register(
@@ -253,7 +264,7 @@ def rag_search(spark, sf):
 )
 def rag_fusion(spark, sf):
     asks, scopes = b.open_requests(spark, sf)
-    return rt.rag_fusion(asks, b.chunks(spark, sf), scopes)
+    return rt.rag_fusion(asks, b.index(spark, sf), scopes)
 
 
 @register(
@@ -298,7 +309,7 @@ _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
 )
 def quality_score(spark, sf):
     asks, scopes = b.open_requests(spark, sf)
-    rows = rt.keyword_matches(asks, b.chunks(spark, sf), scopes)
+    rows = rt.keyword_matches(asks, b.index(spark, sf), scopes)
     quality = tx.text_quality(F.col("content"), b.LATIN)
     return rows.select(
         "trace_id",
@@ -325,7 +336,7 @@ def quality_score(spark, sf):
 )
 def quality_rerank(spark, sf):
     asks, scopes = b.requests(spark, sf)
-    results = rt.rag_search(asks, b.chunks(spark, sf), scopes).join(asks.select("trace_id", "query"), "trace_id")
+    results = rt.rag_search(asks, b.index(spark, sf), scopes).join(asks.select("trace_id", "query"), "trace_id")
     return rt.quality_rerank(results, script=b.LATIN)
 
 
@@ -357,7 +368,7 @@ def search_response(spark, sf):
     asked = b.table(spark, sf, "benchmark").join(people.select("employee_id")).select(
         F.concat_ws(":", "item_id", "employee_id").alias("trace_id"), F.col("text").alias("query"), "employee_id"
     )
-    out = rt.search_response(asked, people, b.access(spark, sf), b.chunks(spark, sf), script=b.LATIN)
+    out = rt.search_response(asked, people, b.access(spark, sf), b.index(spark, sf), script=b.LATIN)
     return out.select(
         "trace_id", "rank", "chunk_id", "doc_id", "score", "classification", "citation.snippet", "citation.relative_path",
         "filter_applied.max_clearance", "filter_applied.project_role", "candidates_before_rls", "results_after_rls", "denied_by_policy",
@@ -373,7 +384,7 @@ def search_response(spark, sf):
 )
 def model_rerank(spark, sf):
     asks, scopes = b.open_requests(spark, sf)
-    results = rt.rag_search(asks, b.chunks(spark, sf), scopes).join(
+    results = rt.rag_search(asks, b.index(spark, sf), scopes).join(
         asks.select("trace_id", tx.strip(F.col("query")).alias("query")), "trace_id"
     )
     closeness = lambda q, s: F.round(1.0 - F.abs(F.length(q) - F.length(s)) / 1000.0, 4)
@@ -387,7 +398,7 @@ def model_rerank(spark, sf):
 )
 def topk_per_query(spark, sf):
     asks, scopes = b.open_requests(spark, sf)
-    scores = rt.bm25(asks, b.chunks(spark, sf), scopes).drop("rank")
+    scores = rt.bm25(asks, b.index(spark, sf), scopes).drop("rank")
     return rt.rank_by_score(scores, ["trace_id"], 3)
 
 
@@ -397,7 +408,7 @@ def topk_per_query(spark, sf):
 )
 def rank_from_score(spark, sf):
     asks, scopes = b.open_requests(spark, sf)
-    rows = rt.keyword_matches(asks, b.chunks(spark, sf), scopes)
+    rows = rt.keyword_matches(asks, b.index(spark, sf), scopes)
     return rt.rank_by_score(rows, ["trace_id"]).select("trace_id", "chunk_id", "rank")
 
 
@@ -412,7 +423,7 @@ def rank_from_score(spark, sf):
 def best_chunk_per_doc(spark, sf):
     asks, scopes = b.open_requests(spark, sf)
     chunks = b.chunks(spark, sf)
-    scored = rt.bm25(asks, chunks, scopes).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+    scored = rt.bm25(asks, b.index(spark, sf), scopes).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
     return rt.best_per_document(scored, ["trace_id"]).select("trace_id", "doc_id", "chunk_id", "score", "rank")
 
 
@@ -425,7 +436,7 @@ def best_chunk_per_doc(spark, sf):
 def search_stats(spark, sf):
     asks, scopes = b.requests(spark, sf)
     chunks = b.chunks(spark, sf)
-    return rt.search_stats(asks, rt.rag_search(asks, chunks, scopes), chunks)
+    return rt.search_stats(asks, rt.rag_search(asks, b.index(spark, sf), scopes), chunks)
 
 
 @register(
@@ -436,13 +447,12 @@ def search_stats(spark, sf):
        SELECT trace_id, chunk_id, CASE WHEN row_number() OVER (PARTITION BY trace_id, doc_id ORDER BY rank) > 1 THEN 0.08 ELSE 0.0 END::DOUBLE AS penalty FROM u""",
 )
 def diversity_penalty(spark, sf):
-    from pyspark.sql import Window
-
     asks, scopes = b.open_requests(spark, sf)
     chunks = b.chunks(spark, sf)
-    top = rt.bm25(asks, chunks, scopes, pool=20).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
-    again = F.row_number().over(Window.partitionBy("trace_id", "doc_id").orderBy("rank")) > 1
-    return top.select("trace_id", "chunk_id", F.when(again, 0.08).otherwise(0.0).alias("penalty"))
+    top = rt.bm25(asks, b.index(spark, sf), scopes, pool=20).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+    zero = F.lit(0.0)
+    penalty = sc.rerank_score(zero, zero, zero, F.lit(False)) - sc.rerank_score(zero, zero, zero, F.col("repeat"))
+    return top.withColumn("repeat", rt.repeats_document()).select("trace_id", "chunk_id", penalty.alias("penalty"))
 
 
 # --- vectors ---------------------------------------------------------------------------------
@@ -696,7 +706,7 @@ def scoped_search(spark, sf):
     asks, scopes = b.open_requests(spark, sf)
     folder = F.concat(F.lit("src"), F.col("trace_id").cast("bigint") % 20, F.lit("/"))
     paths = asks.select("trace_id", folder.alias("relative_path"))
-    return rt.scoped_search(asks, paths, b.chunks(spark, sf), scopes)
+    return rt.scoped_search(asks, paths, b.index(spark, sf), scopes)
 
 
 ANALYSIS = f"""
@@ -733,10 +743,8 @@ def doc_profile_select(spark, sf):
     return rows.select("c.doc_id", "rank", "c.snippet", "c.relative_path", "c.file_name")
 
 
-@register(
-    "append_path_matches",
-    _with(b.SQL_CHUNKS, OPEN_ASKS, REQUIRED, MATCHES)
-    + f""", ct AS (SELECT trace_id, source_relative_path AS relative_path, min(rank) AS rank FROM (
+MERGED = f"""
+ct AS (SELECT trace_id, source_relative_path AS relative_path, min(rank) AS rank FROM (
                SELECT h.*, c.source_relative_path, row_number() OVER (PARTITION BY trace_id ORDER BY score DESC, h.chunk_id) AS rank
                FROM hits h JOIN chunks c USING (chunk_id) WHERE score > 0) WHERE rank <= 8 GROUP BY 1, 2),
        nq AS (SELECT CAST(item_id AS VARCHAR) AS trace_id, 'File ' || item_id AS q FROM benchmark),
@@ -748,15 +756,25 @@ def doc_profile_select(spark, sf):
               UNION ALL SELECT p.trace_id, p.relative_path, p.rank, 1 FROM pt p LEFT JOIN ct USING (trace_id, relative_path) WHERE ct.rank IS NULL),
        sc AS (SELECT *, regexp_extract(relative_path, '[^/]*$') || ' ' || relative_path AS nm FROM un),
        sd AS (SELECT *, CASE WHEN regexp_matches(nm, '(№|#|^|[^a-zA-Z0-9_])' || trace_id || '([^a-zA-Z0-9]|$)') AND length(trace_id) >= 2 THEN 100 ELSE 0 END
-              - 40 * len(list_filter(regexp_extract_all(nm, '[0-9]{{2,}}'), lambda x: x <> trace_id)) AS s0 FROM sc)
-       SELECT trace_id, position, relative_path, CAST(number_score AS INT) AS number_score, CAST(part AS INT) AS part FROM (
+              - 40 * len(list_filter(regexp_extract_all(nm, '[0-9]{{2,}}'), lambda x: x <> trace_id)) AS s0 FROM sc),
+       merged AS (SELECT trace_id, position, relative_path, CAST(number_score AS INT) AS number_score, CAST(part AS INT) AS part FROM (
          SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY number_score DESC, part, rank, relative_path) AS position
-         FROM (SELECT *, CASE WHEN length(trace_id) >= 2 THEN s0 ELSE 0 END AS number_score FROM sd)) WHERE position <= 8""",
+         FROM (SELECT *, CASE WHEN length(trace_id) >= 2 THEN s0 ELSE 0 END AS number_score FROM sd)) WHERE position <= 8)
+"""
+
+
+@register(
+    "append_path_matches",
+    _with(b.SQL_CHUNKS, OPEN_ASKS, REQUIRED, MATCHES, MERGED) + " SELECT * FROM merged",
 )
 def append_path_matches(spark, sf):
+    return _merged(spark, sf)
+
+
+def _merged(spark, sf):
     asks, scopes = b.open_requests(spark, sf)
     chunks = b.chunks(spark, sf)
-    top = rt.rank_by_score(rt.keyword_matches(asks, chunks, scopes), ["trace_id"], 8)
+    top = rt.rank_by_score(rt.keyword_matches(asks, b.index(spark, sf), scopes), ["trace_id"], 8)
     content = top.groupBy("trace_id", F.col("source_relative_path").alias("relative_path")).agg(F.min("rank").alias("rank"))
     named = asks.select("trace_id", F.concat(F.lit("File "), F.col("trace_id")).alias("query"))
     manifest = b.documents(spark, sf).select(F.col("source_relative_path").alias("relative_path"))
@@ -765,6 +783,20 @@ def append_path_matches(spark, sf):
     return rt.merge_path_matches(content, by_path, numbers)
 
 
+@register(
+    "search_hit_counts",
+    _with(b.SQL_CHUNKS, OPEN_ASKS, REQUIRED, MATCHES, MERGED)
+    + """, n AS (SELECT trace_id, count(*) FILTER (part = 0) AS c, count(*) FILTER (part = 1) AS p FROM merged GROUP BY 1)
+       SELECT CAST(item_id AS VARCHAR) AS trace_id, coalesce(c, 0) AS content_hits, coalesce(p, 0) AS path_only_hits,
+              CASE WHEN item_id % 5 = 0 THEN 'file_list' WHEN coalesce(p, 0) > 0 AND coalesce(c, 0) = 0 THEN 'path_only' ELSE 'content' END AS search_mode
+       FROM benchmark LEFT JOIN n ON n.trace_id = CAST(item_id AS VARCHAR)""",
+)
+def search_hit_counts(spark, sf):
+    """Every fifth passage is taken as a request for files."""
+    asks, _ = b.open_requests(spark, sf)
+    return rt.hit_counts(asks, _merged(spark, sf), F.col("trace_id").cast("bigint") % 5 == 0)
+
+
 @register(
     "merge_citations",
     f"""WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'file_preview' WHEN role = 'user' THEN 'index' END AS source, {_STRIP.format('text')} AS s FROM conversations),
@@ -790,3 +822,94 @@ def doc_path_enrich(spark, sf):
     citations = b.table(spark, sf, "labels").select("doc_id", own.alias("relative_path"))
     catalog = b.documents(spark, sf).select(F.col("doc_no").alias("doc_id"), F.col("source_relative_path").alias("relative_path"))
     return ig.enrich_paths(citations, catalog).select("doc_id", "relative_path", "file_name")
+
+
+# --- short requests, by users who see much, little and nothing ---------------------------------
+
+
+@register(
+    "match_score_short",
+    _with(b.SQL_CHUNKS, OPEN_SHORT, REQUIRED, MATCHES) + " SELECT trace_id, chunk_id, score FROM hits WHERE score > 0",
+)
+def match_score_short(spark, sf):
+    asks, scopes = b.open_short_requests(spark, sf)
+    return rt.keyword_matches(asks, b.index(spark, sf), scopes).select("trace_id", "chunk_id", "score")
+
+
+@register(
+    "required_optional_tokens_short",
+    _with(b.SQL_SECURE, USER_SHORT, REQUIRED)
+    + """ SELECT trace_id, array_to_string(list_sort(list_distinct(required)), ' ') AS required,
+                 array_to_string(list_sort(list_distinct(list_filter(toks, lambda x: NOT list_contains(required, x)))), ' ') AS optional
+          FROM req""",
+)
+def required_optional_tokens_short(spark, sf):
+    asks, scopes = b.short_requests(spark, sf)
+    asked = rt.required_tokens(asks, b.index(spark, sf), scopes)
+    words = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), " ").alias(c)
+    return asked.select("trace_id", words("required"), words("optional"))
+
+
+@register(
+    "bm25_short",
+    _with(b.SQL_SECURE, USER_SHORT, BM25)
+    + f" SELECT * FROM (SELECT trace_id, chunk_id, score, {_rank()} AS rank FROM bm WHERE score > 0) WHERE rank <= 20",
+)
+def bm25_short(spark, sf):
+    asks, scopes = b.short_requests(spark, sf)
+    return rt.bm25(asks, b.index(spark, sf), scopes, pool=20)
+
+
+@register(
+    "fulltext_hybrid_short",
+    _with(b.SQL_SECURE, USER_SHORT, REQUIRED, MATCHES, BM25, FULLTEXT) + " SELECT trace_id, chunk_id, score, rank FROM full_text",
+)
+def fulltext_hybrid_short(spark, sf):
+    asks, scopes = b.short_requests(spark, sf)
+    return rt.fulltext_hybrid(asks, b.index(spark, sf), scopes)
+
+
+@register(
+    "rag_search_short",
+    _with(b.SQL_SECURE, USER_SHORT, REQUIRED, MATCHES, SEARCH)
+    + " SELECT trace_id, rank, chunk_id, doc_id, score, classification, snippet FROM results",
+)
+def rag_search_short(spark, sf):
+    asks, scopes = b.short_requests(spark, sf)
+    return rt.rag_search(asks, b.index(spark, sf), scopes)
+
+
+@register(
+    "hybrid_search_short",
+    _with(b.SQL_CHUNKS, OPEN_SHORT, REQUIRED, MATCHES)
+    + ", src AS (SELECT 'c' || chunk_id AS id, content AS txt FROM chunks UNION ALL SELECT 'q' || trace_id, q FROM asks), "
+    + HASH_EMBED.strip()
+    + f""", cs AS (SELECT h.trace_id, h.chunk_id, sum(c.c * q.c)::DOUBLE AS dp
+                 FROM hits h JOIN bk c ON c.id = 'c' || h.chunk_id JOIN bk q ON q.id = 'q' || h.trace_id AND q.bucket = c.bucket
+                 WHERE h.score > 0 GROUP BY 1, 2),
+       hy AS (SELECT h.trace_id, h.chunk_id, h.doc_id, h.score AS keyword, round(coalesce(dp / (n1.n * n2.n), 0.0), 6) AS cosine
+              FROM hits h LEFT JOIN cs USING (trace_id, chunk_id)
+              LEFT JOIN nm n1 ON n1.id = 'c' || h.chunk_id LEFT JOIN nm n2 ON n2.id = 'q' || h.trace_id WHERE h.score > 0),
+       hs AS (SELECT *, round(CASE WHEN keyword >= 0.99 THEN keyword ELSE 0.85::DOUBLE * keyword + (1.0::DOUBLE - 0.85::DOUBLE) * cosine END, 6) AS score FROM hy)
+       SELECT trace_id, chunk_id, doc_id, keyword, cosine, score, rank FROM (SELECT *, {_rank()} AS rank FROM hs) WHERE rank <= 8""",
+)
+def hybrid_search_short(spark, sf):
+    asks, scopes = b.open_short_requests(spark, sf)
+    return rt.hybrid_search(asks, b.index(spark, sf), scopes)
+
+
+@register(
+    "keyword_score_of_matches",
+    _with(b.SQL_CHUNKS, OPEN_SHORT, REQUIRED, MATCHES)
+    + f""", k AS (SELECT trace_id, chunk_id, lower(content) AS low, list_distinct(regexp_extract_all(lower(content), '{T2}')) AS ts,
+                       list_distinct(toks) AS ks FROM hits WHERE score > 0)
+        SELECT trace_id, chunk_id, round(CASE WHEN len(ks) = 0 THEN 1.0::DOUBLE ELSE
+               len(list_filter(ks, lambda k: contains(low, k) OR len(list_filter(ts, lambda t: contains(t, k) OR contains(k, t))) > 0))::DOUBLE / len(ks) END, 6) AS score
+        FROM k""",
+)
+def keyword_score_of_matches(spark, sf):
+    """Keyword hits of every match of a search, each chunk taken as the answer."""
+    asks, scopes = b.open_short_requests(spark, sf)
+    rows = rt.keyword_matches(asks, b.index(spark, sf), scopes)
+    score = tx.keyword_score(F.col("content"), F.array_distinct(tx.tokens(F.col("query"))))
+    return rows.select("trace_id", "chunk_id", F.round(score, 6).alias("score"))
