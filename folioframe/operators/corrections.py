@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,11 +30,32 @@ def _differing_runs(a: Column, b: Column) -> Column:
     return F.arrays_zip(runs(a, b).alias("wrong"), runs(b, a).alias("replacement"))
 
 
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _longest_increasing(places: pd.Series) -> pd.Series:
+    """Which numbers of each array make a longest increasing sequence, by piles as in patience."""
+
+    def kept(row: list[int]) -> list[bool]:
+        tops: list[int] = []
+        pile = []
+        for x in row:
+            at = bisect_left(tops, x)
+            tops[at : at + 1] = [x]
+            pile.append(at)
+        out, need, below = [False] * len(row), len(tops) - 1, float("inf")
+        for k in range(len(row) - 1, -1, -1):
+            if pile[k] == need and row[k] < below:
+                out[k], need, below = True, need - 1, row[k]
+        return out
+
+    return places.map(kept)
+
+
 def mine_pairs(corrections: DataFrame, raw: str = "raw_text", fixed: str = "corrected_text") -> DataFrame:
-    """(wrong, replacement) word runs that differ, one row per occurrence.
+    """(wrong, replacement, n): word runs that differ, and how often in equal pairs of texts.
 
-    Words that stand once in each of the two texts, in the same order, are anchors; they
-    cut both into segments.  Segments of one length are compared word by word, others
+    Words that stand once in each of the two texts are anchors where they are in the same
+    order: of all of them a longest increasing sequence, so a word that moves costs itself
+    only.  Anchors cut both texts into segments.  Segments of one length are compared word by word, others
     are a rule as a whole.  A rule has a replacement of two characters at least and
     changes more than the case.
     """
@@ -46,8 +69,9 @@ def mine_pairs(corrections: DataFrame, raw: str = "raw_text", fixed: str = "corr
         return words.groupBy("id", "w").agg(F.count("*").alias("c"), F.min(place).alias(place)).where("c = 1").drop("c")
 
     met = once("a", "i").join(once("b", "j"), ["id", "w"]).drop("w")
-    earlier = Window.partitionBy("id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    met = met.withColumn("top", F.max("j").over(earlier)).where("top is null or j > top").drop("top")
+    met = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("met"))  # the words of one text
+    kept = F.arrays_zip(F.col("met.i").alias("i"), F.col("met.j").alias("j"), _longest_increasing(F.col("met.j")).alias("k"))
+    met = met.select("id", F.explode(F.filter(kept, lambda m: m["k"])).alias("m")).select("id", "m.i", "m.j")
     ends = rows.select("id", F.size("a").alias("i"), F.size("b").alias("j"))
     cuts = met.unionByName(ends)
     order = Window.partitionBy("id").orderBy("i")
@@ -59,13 +83,12 @@ def mine_pairs(corrections: DataFrame, raw: str = "raw_text", fixed: str = "corr
     whole = F.array(F.struct(F.array_join("x", " ").alias("wrong"), F.array_join("y", " ").alias("replacement")))
     pairs = F.when(F.size("x") == F.size("y"), _differing_runs(F.col("x"), F.col("y"))).otherwise(whole)
     rules = parts.select("n", F.explode(pairs).alias("p")).select("n", "p.*")
-    rules = rules.where((F.length("replacement") >= 2) & (F.lower("wrong") != F.lower("replacement")))
-    return rules.select(F.explode(F.expr("array_repeat(struct(wrong, replacement), int(n))")).alias("p")).select("p.*")
+    return rules.where((F.length("replacement") >= 2) & (F.lower("wrong") != F.lower("replacement"))).select("wrong", "replacement", "n")
 
 
 def rule_counts(pairs: DataFrame, keep: int | None = None) -> DataFrame:
     """Occurrences per rule; ``keep`` limits the result to the most frequent ones."""
-    counted = pairs.groupBy("wrong", "replacement").agg(F.count("*").alias("count"))
+    counted = pairs.groupBy("wrong", "replacement").agg(F.sum("n").alias("count"))
     return counted if keep is None else counted.orderBy(F.desc("count"), "wrong", "replacement").limit(keep)
 
 

@@ -288,3 +288,30 @@ def doc_fingerprint(chunks: DataFrame, group: str = "doc_id") -> DataFrame:
             F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256), 1, 16),
         ).alias("content_fingerprint")
     )
+
+
+def chunk_sums(chunks: DataFrame, group: str = "doc_id") -> DataFrame:
+    """(group, n, sum_a, sum_b): a fingerprint of a document's chunks that can be added to and taken from.
+
+    Each chunk's line, as in :func:`doc_fingerprint`, is hashed; two halves of the hash are
+    summed over the document.  Sums combine before the shuffle, in any order, and nothing
+    is gathered, so a document may have any number of chunks.
+    """
+    line = F.concat_ws(":", "chunk_id", F.substring(F.coalesce("content", F.lit("")), 1, 120))
+    digest = F.sha2(line, 256)
+    half = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")
+    return chunks.groupBy(group).agg(
+        F.count("*").alias("n"), F.sum(half(1)).cast("decimal(38,0)").alias("sum_a"), F.sum(half(16)).cast("decimal(38,0)").alias("sum_b")
+    )
+
+
+def apply_chunk_sums(state: DataFrame, removed: DataFrame, added: DataFrame, group: str = "doc_id") -> DataFrame:
+    """The fingerprints after chunks were removed and added; only those chunks are read again.
+
+    ``state`` is an earlier result of :func:`chunk_sums`; a document without chunks goes.
+    """
+    sums = ("n", "sum_a", "sum_b")
+    less = chunk_sums(removed, group).select(group, *[(-F.col(c)).alias(c) for c in sums])
+    parts = state.select(group, *sums).unionByName(less).unionByName(chunk_sums(added, group))
+    total = parts.groupBy(group).agg(F.sum("n").alias("n"), *[F.sum(c).cast("decimal(38,0)").alias(c) for c in sums[1:]])
+    return total.where("n > 0")

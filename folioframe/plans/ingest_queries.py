@@ -300,6 +300,28 @@ def doc_fingerprint(spark, sf):
     return ig.doc_fingerprint(b.chunks(spark, sf), "doc_no")
 
 
+@register(
+    "doc_fingerprint_upsert",
+    _with(b.SQL_CHUNKS)
+    + """, now AS (SELECT c.doc_no, chunk_id, CASE WHEN toxic = 1 THEN 'new ' || content ELSE content END AS content, page
+                  FROM chunks c LEFT JOIN labels l ON c.doc_no = l.doc_id
+                  WHERE NOT (coalesce(quality, 1) = 0 AND page = 1)),
+        h AS (SELECT doc_no, sha256(chunk_id || ':' || substr(content, 1, 120)) AS d FROM now)
+        SELECT doc_no, count(*) AS n, CAST(sum(CAST('0x' || d[1:15] AS BIGINT)) AS VARCHAR) AS sum_a,
+               CAST(sum(CAST('0x' || d[16:30] AS BIGINT)) AS VARCHAR) AS sum_b FROM h GROUP BY 1""",
+)
+def doc_fingerprint_upsert(spark, sf):
+    """Chunks of toxic documents change and first chunks of low ones go: the stored sums follow the changes."""
+    chunks = b.chunks(spark, sf).select("doc_no", "chunk_id", "content", "page")
+    labels = b.table(spark, sf, "labels").select(F.col("doc_id").alias("doc_no"), "quality", "toxic")
+    touched = chunks.join(labels, "doc_no")
+    gone = (F.col("quality") == 0) & (F.col("page") == 1)
+    removed = touched.where(gone | (F.col("toxic") == 1))
+    added = touched.where(~gone & (F.col("toxic") == 1)).withColumn("content", F.concat(F.lit("new "), "content"))
+    now = ig.apply_chunk_sums(ig.chunk_sums(chunks, "doc_no"), removed, added, "doc_no")
+    return now.select("doc_no", "n", F.col("sum_a").cast("string").alias("sum_a"), F.col("sum_b").cast("string").alias("sum_b"))
+
+
 @register(
     "profile_cache_join",
     _with(b.SQL_CHUNKS, _FP)

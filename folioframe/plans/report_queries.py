@@ -228,12 +228,11 @@ def folder_file_counts(spark, sf):
 @register(
     "low_text_coverage",
     _with(b.SQL_CHUNKS)
-    + f""", q AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN {sql_quality('t')} > 0.35 THEN 1 ELSE 0 END) AS good FROM (SELECT doc_id, {_STRIP.format('content')} AS t FROM chunks WHERE corpus_id = 'north') GROUP BY 1)
+    + f""", q AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN {sql_quality('t')} > 0.35 THEN 1 ELSE 0 END) AS good FROM (SELECT doc_id, {_STRIP.format('content')} AS t FROM chunks) GROUP BY 1)
        SELECT d.doc_id, coalesce(n, 0) AS chunks, CASE WHEN n IS NULL THEN 'no_text' WHEN good = 0 THEN 'low_text' END AS hint FROM docs d LEFT JOIN q USING (doc_id)""",
 )
 def low_text_coverage(spark, sf):
-    chunks = b.chunks(spark, sf).where("corpus_id = 'north'")
-    return rp.text_coverage(chunks, b.documents(spark, sf), b.LATIN)
+    return rp.text_coverage(b.chunks(spark, sf), b.documents(spark, sf), b.LATIN)
 
 
 @register(

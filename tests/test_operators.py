@@ -223,3 +223,48 @@ def test_short_tokens_find_their_chunks(spark):
     asks = spark.createDataFrame([("a", "акт", 0), ("b", "ак об", 0), ("c", "зз план", 0)], "trace_id string, query string, scope_id bigint")
     got = {(r["trace_id"], r["chunk_id"], r["score"]) for r in rt.keyword_matches(asks, chunks, scopes).collect()}
     assert got == {("a", "c0", 1.0), ("a", "c1", 1.0), ("a", "c3", 1.0), ("b", "c3", 0.88), ("c", "c2", 0.4)}
+
+
+def test_a_moved_word_costs_one_anchor(spark):
+    from folioframe.operators import corrections as co
+
+    rows = [
+        ("moved alpha beta gamma delta eps zeta eta", "alpha betta gamma delta epps zeta eta moved"),
+        ("moved alpha beta gamma delta eps zeta eta", "alpha betta gamma delta epps zeta eta moved"),
+        ("same same", "same same"),
+        (None, "x"),
+    ]
+    df = spark.createDataFrame(rows, "raw_text string, corrected_text string")
+    got = {(r["wrong"], r["replacement"]): r["count"] for r in co.rule_counts(co.mine_pairs(df)).collect()}
+    assert got[("beta", "betta")] == 2 and got[("eps", "epps")] == 2
+
+
+def test_longest_increasing_is_longest(spark):
+    import random
+
+    from folioframe.operators.corrections import _longest_increasing
+
+    def longest(row):
+        best = []
+        for k, x in enumerate(row):
+            best.append(1 + max((best[i] for i in range(k) if row[i] < x), default=0))
+        return max(best, default=0)
+
+    rng = random.Random(1)
+    rows = [rng.sample(range(40), rng.randrange(0, 30)) for _ in range(60)]
+    df = spark.createDataFrame([(r,) for r in rows], "v array<int>").withColumn("k", _longest_increasing("v"))
+    for r in df.collect():
+        kept = [x for x, k in zip(r.v, r.k) if k]
+        assert kept == sorted(kept) and len(kept) == longest(r.v)
+
+
+def test_sums_follow_an_upsert(spark):
+    from folioframe.operators import ingest as ig
+
+    before = [("a", "a1", "x"), ("a", "a2", "y"), ("b", "b1", None), ("c", "c1", "z")]
+    after = [("a", "a1", "x"), ("a", "a2", "changed"), ("a", "a3", "new"), ("b", "b1", None)]
+    df = lambda rows: spark.createDataFrame(rows, "doc_id string, chunk_id string, content string")
+    state = ig.chunk_sums(df(before))
+    new = ig.apply_chunk_sums(state, df([r for r in before if r not in after]), df([r for r in after if r not in before]))
+    rows = lambda d: sorted(map(tuple, d.select("doc_id", "n", "sum_a", "sum_b").collect()))
+    assert rows(new) == rows(ig.chunk_sums(df(after))) != rows(state)
