@@ -45,7 +45,7 @@ def hash_embedding(c: Column, dims: int = 64) -> Column:
     low = F.lower(F.coalesce(c, F.lit("")))
     toks = F.regexp_extract_all(low, F.lit("[a-zа-яё0-9]{3,}"), F.lit(0))
     # sorted buckets are counted in one pass: a pair is appended where the bucket changes
-    buckets = F.array_sort(F.transform(toks, lambda t: hash_bucket(t, dims)))
+    buckets = F.sort_array(F.transform(toks, lambda t: hash_bucket(t, dims)))
     pair = lambda s: F.struct(s["at"].alias("at"), s["n"].alias("n"))
     kind = "struct<at:bigint,n:bigint,done:array<struct<at:bigint,n:bigint>>>"
     none = F.array().cast("array<struct<at:bigint,n:bigint>>")

@@ -55,7 +55,7 @@ def word_grams(words: DataFrame) -> DataFrame:
     each = F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.substring(marked, i, 3))
     grams = words.where("term <> ''").select("term", F.explode(F.array_distinct(each)).alias("gram"))
     part = F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int").alias("part")
-    lists = grams.groupBy("gram", part).agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    lists = grams.groupBy("gram", part).agg(F.sort_array(F.collect_list("term")).alias("terms"))
     lead = lambda n: F.substring("gram", 1, n)
     return lists.select("gram", lead(2).alias("two"), lead(1).alias("one"), "part", "terms")
 

@@ -237,11 +237,11 @@ def rrf(ranked: DataFrame, group: list[str], top_k: int | None = None, k: int =
     return rank_by_score(fused, group, top_k, tie=tie)
 
 
-def fulltext_hybrid(requests: DataFrame, chunks: DataFrame | Index, scopes: DataFrame, pool: int = 64) -> DataFrame:
+def fulltext_hybrid(requests: DataFrame, chunks: DataFrame | Index, scopes: DataFrame, pool: int | None = 64) -> DataFrame:
     """Keyword ranking and BM25, fused by rank.
 
-    The token test comes first: both lists are ranked and cut to ``pool`` among chunks
-    that pass it, so no match is lost because chunks that fail it rank higher.  Only
+    The token test comes first: both lists are ranked and cut to ``pool`` (if given) among
+    chunks that pass it, so no match is lost because chunks that fail it rank higher.  Only
     requests that need no test rank the whole index by BM25.
     """
     index = indexed(chunks)
@@ -255,7 +255,8 @@ def fulltext_hybrid(requests: DataFrame, chunks: DataFrame | Index, scopes: Data
     words = weights(requests, index, scopes)
     scored = rank_by_score(bm25_of(tested.where("tested"), words, index), ["trace_id"], pool)
     free = asked.where(~_needs_all()).select("trace_id")
-    best = bm25_top(words.join(free, "trace_id", "left_semi"), index, scopes, pool)
+    words = words.join(free, "trace_id", "left_semi")
+    best = bm25_top(words, index, scopes, pool) if pool else rank_by_score(bm25_all(words, index, scopes), ["trace_id"])
     cols = ["trace_id", "chunk_id", "rank"]
     lists = keyword.select(*cols).unionByName(scored.select(*cols)).unionByName(best.select(*cols))
     return rrf(lists, ["trace_id"], pool)
@@ -360,9 +361,13 @@ def expand_queries(requests: DataFrame, max_variants: int = 4) -> DataFrame:
 
 
 def rag_fusion(
-    requests: DataFrame, chunks: DataFrame | Index, scopes: DataFrame, top_k: int = 8, pool: int = 64
+    requests: DataFrame, chunks: DataFrame | Index, scopes: DataFrame, top_k: int = 8, pool: int | None = None
 ) -> DataFrame:
-    """Hybrid search for every variant, fused, then the final search in the fused set."""
+    """Hybrid search for every variant, fused, then the final search in the fused set.
+
+    ``pool`` cuts the lists of a variant and the fused list; without it none is cut, and
+    no match is lost before the final score.
+    """
     index = indexed(chunks)
     variants = expand_queries(requests).withColumn(
         "_trace", F.col("trace_id")
@@ -492,7 +497,7 @@ def path_search(requests: DataFrame, manifest: DataFrame, limit: int = 10, hot_r
     open_lists = facts.where(short | (F.col("worst") <= best)).select(
         "trace_id", "hot_toks", "n", short.alias("short"), F.when(h == F.col("n"), F.col("query")).alias("whole")
     )
-    open_lists = reuse(open_lists.withColumn("sig", F.xxhash64("hot_toks", "n", F.coalesce("whole", F.lit("")))))
+    open_lists = reuse(open_lists.withColumn("sig", F.sha2(F.to_json(F.struct("hot_toks", "n", "whole")), 256)))
 
     sets = open_lists.where("short").groupBy("sig").agg(
         F.first("hot_toks").alias("hot_toks"), F.first("n").alias("n"), F.first("whole").alias("whole")

@@ -251,11 +251,11 @@ def rag_search(spark, sf):
                  FROM (SELECT tid, unnest(list_filter([q, v2, v3], lambda x: x IS NOT NULL)) AS v,
                        generate_subscripts(list_filter([q, v2, v3], lambda x: x IS NOT NULL), 1) - 1 AS i FROM q5)),
         vis AS (SELECT '0' AS sk, chunk_id FROM chunks),"""
-    + ", ".join(p.strip() for p in (REQUIRED, MATCHES, BM25, FULLTEXT))
+    + ", ".join(p.strip() for p in (REQUIRED, MATCHES, BM25, FULLTEXT.replace(" WHERE rank <= 64", "")))
     + f""", fz AS (SELECT trace_id, chunk_id, score, {_rank()} AS rank FROM (
             SELECT split_part(trace_id, '#', 1) AS trace_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score
             FROM full_text GROUP BY 1, 2)),
-        pick AS (SELECT trace_id, chunk_id FROM fz WHERE rank <= 64),
+        pick AS (SELECT trace_id, chunk_id FROM fz),
         fin AS (SELECT h.*, split_part(h.trace_id, '#', 1) AS tid FROM hits h WHERE split_part(h.trace_id, '#', 2) = '0' AND h.score > 0),
         fin2 AS (SELECT tid AS trace_id, f.chunk_id, doc_id, round(score, 4) AS score,
                  row_number() OVER (PARTITION BY tid ORDER BY score DESC, f.chunk_id) AS rank
