@@ -102,13 +102,22 @@ _indexes: dict[tuple[str, str], po.Index] = {}
 
 
 def index(spark: SparkSession, sf_dir: str) -> po.Index:
-    """The search index of the chunks, built once by a session for each folder of tables."""
+    """The search index of the chunks, built once by a session for each folder of tables.
+
+    It is built again if its files have gone, as where a shared folder is emptied.
+    """
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _indexes:
+    if key not in _indexes or not _present(_indexes[key].totals):
         _indexes[key] = po.build_index(chunks(spark, sf_dir))
     return _indexes[key]
 
 
+def _present(written: DataFrame) -> bool:
+    spark = written.sparkSession
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in written.inputFiles()]
+    return bool(paths) and all(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for p in paths)
+
+
 def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _n()
     return table(spark, sf_dir, "documents").select("source").distinct().select(
