@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
+from math import exp, sqrt
 
 import numpy as np
 import pandas as pd
@@ -53,11 +54,30 @@ def _difference(t: Fraction, small_end: int) -> int:
     return int((1 - t) / (1 + t) * (small + int(small / t)))
 
 
+@lru_cache(maxsize=4096)
+def _classes(small: int, differ: int) -> int:
+    """Classes of a level: so many that a set of ``small`` shingles fills more than ``differ``.
+
+    The number of filled classes stays three standard deviations above ``differ``, so few
+    sets have to show their empty classes, which say nothing about a text.
+    """
+    m = differ + 2
+    while m < 4 * small:
+        empty = exp(-small / m)
+        spread = sqrt(max(0.0, m * empty * (1 - (1 + small / m) * empty)))
+        if m * (1 - empty) - 3 * spread >= differ + 0.5:
+            break
+        m += 1
+    return m
+
+
 def class_keys(shingles: np.ndarray, t: Fraction) -> np.ndarray:
     """Keys of a set; two linked sets that are not equal share at least one.
 
-    One class more than needed is cut: of the classes in which two linked sets agree,
-    one may be empty.  Only a set with several empty classes emits those too.
+    Two linked sets disagree in at most ``differ`` classes.  A set that fills more than
+    those agrees with its partner in a filled class, so its empty classes are no keys.
+    Only a set that fills fewer emits them; two such sets agree in some class, as there
+    are more than ``differ`` of them.
     """
     n = len(shingles)
     starts = _starts(t, 1 << max(n, 1).bit_length())
@@ -70,12 +90,12 @@ def class_keys(shingles: np.ndarray, t: Fraction) -> np.ndarray:
         differ = _difference(t, starts[level + 1])
         if differ == 0:
             continue  # only equal sets can be linked
-        m = differ + 2
+        m = _classes(starts[level], differ)
         cut = np.searchsorted(shingles, (np.arange(m, dtype=np.uint64) * np.uint64((1 << 64) // m)))
         ends = np.append(cut[1:], n)
         keys = mix(mix(total[ends] - total[cut] + np.uint64(level)) + np.arange(m, dtype=np.uint64))
         full = ends > cut
-        out.append(keys if m - full.sum() > 1 else keys[full])
+        out.append(keys[full] if full.sum() > differ else keys)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
