@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+from fractions import Fraction
 
 import brute
+import numpy as np
 
 from folioframe.llm import common
 from folioframe.llm import exact_dedup as ex
@@ -113,6 +115,22 @@ def test_region_join_is_exact():
         assert {i: min(g) for g in group.values() for i in g} == {i: c for i, (_, c) in want.items()}
 
 
+def test_linked_sets_share_a_key():
+    rng = np.random.default_rng(9)
+    draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    for t in (Fraction(4, 5), Fraction(9, 10)):
+        for n in [*range(1, 60), 150, 700, 3000]:
+            for _ in range(20):
+                # as many differences as a link allows, all in one set or split over both
+                common = np.unique(draw(n))
+                most = int(len(common) / t) - len(common)
+                left = int(rng.integers(0, most + 1))
+                a = np.unique(np.concatenate([common, draw(left)]))
+                b = np.unique(np.concatenate([common, draw(most - left)]))
+                if len(a) + len(b) > 2 * len(common):
+                    assert np.intersect1d(nj.class_keys(a, t), nj.class_keys(b, t)).size
+
+
 def test_jaccard_components(spark, monkeypatch):
     rng = random.Random(7)
     texts = near_copies(rng, 120) + ["other " * 50, None, "", "one two", "ONE two", "x y z", "x y z w"] + near_copies(rng, 5, 3000)
