@@ -38,13 +38,12 @@ _NUM = "regexp_matches(nm, '(№|#|^|[^a-zA-Z0-9_])' || digits || '([^a-zA-Z0-9]
 
 def results(spark, sf, k=5):
     asks, scopes = b.open_requests(spark, sf)
-    chunks = b.chunks(spark, sf)
-    top = reuse(rt.bm25(asks, b.index(spark, sf), scopes, pool=k))  # few rows: the texts are not shuffled for them
-    cols = chunks.select(
-        "chunk_id", "doc_id", F.col("source_relative_path").alias("relative_path"),
+    index = b.index(spark, sf)
+    top = reuse(rt.bm25(asks, index, scopes, pool=k))  # few rows: the texts are not shuffled for them
+    return rt.with_texts(top, index).select(
+        *top.columns, "doc_id", F.col("source_relative_path").alias("relative_path"),
         tx.base_name(F.col("source_relative_path")).alias("file_name"), F.substring("content", 1, 280).alias("snippet"),
     )
-    return top.join(cols, "chunk_id")
 
 
 def questions(spark, sf):
@@ -117,10 +116,9 @@ def eval_pass_fail(spark, sf):
 )
 def variant_compare(spark, sf):
     asks, scopes = b.open_requests(spark, sf)
-    chunks = b.chunks(spark, sf)
     cols = ["trace_id", "rank", "score"]
     first = rt.bm25(asks, b.index(spark, sf), scopes, pool=3).select(*cols, F.lit("bm25").alias("variant"))
-    second = rt.rank_by_score(rt.keyword_matches(asks, b.index(spark, sf), scopes), ["trace_id"], 3).select(*cols, F.lit("keyword").alias("variant"))
+    second = rt.top_matches(asks, b.index(spark, sf), scopes, 3).select(*cols, F.lit("keyword").alias("variant"))
     return ev.compare_variants(first.unionByName(second), ["bm25", "keyword"])
 
 
