@@ -218,6 +218,30 @@ def test_path_search_with_hot_tokens(spark):
     assert key(rt.path_search(requests, manifest, 10, hot_rows=5)) == key(want)
 
 
+def test_paths_of_hot_tokens_are_ranked_by_class(spark):
+    from folioframe.functions import scoring as sc
+
+    rng = random.Random(7)
+    paths = [f"arc/{rng.choice(['Act', 'plan'])} {i} {rng.choice(['one', 'two', 'six'])}.pdf" for i in range(150)]
+    paths += [f"Arc/{x} a b act plan one two six seven {i}.pdf" for i, x in enumerate(["Act", "act"] * 4)] + ["arc/x ++ y.pdf"]
+    long_ = "act plan one two six seven"
+    asks = ["Act 17 two", "plan", "Plan", "act plan arc", "zzz", "two 1", "Act 5", "pdf arc zzz", "act", "ct 1", "+", "++ y", ".", "", None]
+    asks += [long_, long_.upper(), long_ + " 3", "act act two", "pdf act zz plan"]
+    requests = spark.createDataFrame([(str(i), q, "n") for i, q in enumerate(asks)], "trace_id string, query string, corpus_id string")
+    corpora = "nse"
+    manifest = spark.createDataFrame([(p, corpora[i % 3]) for i, p in enumerate(paths)], "relative_path string, corpus_id string")
+    pairs = requests.withColumnRenamed("corpus_id", "own").crossJoin(manifest)
+    pairs = pairs.withColumn("score", F.round(sc.path_score(F.col("query"), F.col("relative_path")), 3)).where("score > 0").cache()
+    want = rt.rank_by_score(pairs, ["trace_id"], 4, tie="relative_path")
+    key = lambda df: sorted((r["trace_id"], r["rank"], r["relative_path"], r["score"]) for r in df.collect())
+    tops = pairs.where("corpus_id <> own").groupBy("trace_id", "corpus_id").agg(F.max("score").alias("score"))
+    tops = rt.rank_by_score(tops, ["trace_id"], 1, tie="corpus_id").where("score >= 2")
+    top = lambda df: sorted((r["trace_id"], r["corpus_id"], r["score"]) for r in df.collect())
+    for rows, n in [(20, 0), (0, 0), (10**9, 0)]:
+        assert key(rt.path_search(requests, manifest, 4, rows, n)) == key(want)
+        assert top(rt.cross_corpus_suggest(requests, manifest, 2.0, rows, n)) == top(tops)
+
+
 def test_short_tokens_find_their_chunks(spark):
     chunks, scopes = _corpus(spark, ["акт о сдаче", "тракт дорог", "план", "об акте"])
     asks = spark.createDataFrame([("a", "акт", 0), ("b", "ак об", 0), ("c", "зз план", 0)], "trace_id string, query string, scope_id bigint")
