@@ -242,6 +242,26 @@ def test_paths_of_hot_tokens_are_ranked_by_class(spark):
         assert top(rt.cross_corpus_suggest(requests, manifest, 2.0, rows, n)) == top(tops)
 
 
+def test_small_doc_search_scores_every_document(spark, monkeypatch):
+    from folioframe.functions import scoring as sc
+    from folioframe.operators import held
+
+    monkeypatch.setattr(held, "BLOCK", 3)
+    monkeypatch.setattr(held, "SLICE", 4)
+    rng = random.Random(3)
+    words = ["plan", "planung", "Акт", "об", "one", "x,y", "ab", "two\u00a0six", "File_3.txt", "the", "\n"]
+    docs = [(f"arc/{rng.choice(words).strip()}/File_{i}.txt", " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(40)]
+    docs += [("arc/none.txt", None), ("arc/empty.txt", "")]
+    asks = ["plan, one", "File_3.txt", "акт об", "ab", "the the lan", "", " ", None, "x,y", "zzz", "two six", "plan one the " * 9, "arc/none"]
+    requests = spark.createDataFrame([(str(i), q) for i, q in enumerate(asks)], "trace_id string, query string")
+    table = spark.createDataFrame(docs, "relative_path string, content string").repartition(3)
+    pairs = requests.crossJoin(table).withColumn("score", sc.small_doc_score(F.col("query"), F.col("relative_path"), F.col("content")))
+    want = rt.rank_by_score(pairs.where("score > 0"), ["trace_id"], 5, tie="relative_path")
+    want = want.withColumn("snippet", sc.snippet_around(F.col("query"), F.col("content")))
+    key = lambda df: sorted((r["trace_id"], r["rank"], r["relative_path"], r["score"], str(r["snippet"])) for r in df.collect())
+    assert key(rt.small_doc_search(requests, table, 5)) == key(want)
+
+
 def test_short_tokens_find_their_chunks(spark):
     chunks, scopes = _corpus(spark, ["акт о сдаче", "тракт дорог", "план", "об акте"])
     asks = spark.createDataFrame([("a", "акт", 0), ("b", "ак об", 0), ("c", "зз план", 0)], "trace_id string, query string, scope_id bigint")
