@@ -131,3 +131,17 @@ def test_stream_ingest_replaces_changed_documents(spark, tmp_path):
     flows.stream_ingest(spark, src, out, state).awaitTermination()
     rows = {r["doc_id"]: r["content"] for r in flows.read_current(spark, out).collect()}
     assert rows == {"a": "new text", "b": "kept"} and doc
+
+
+def test_scan_archive_writes_its_files_on_all_cores(spark, tmp_path):
+    from folioframe.plans import source_queries as sq
+
+    rows = [(i, "en" if i % 2 else "de", f"text {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert len({r["folder"] for r in sq.scan_archive(spark, str(tmp_path)).collect()}) == 40
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = store.stageList(None, False, False, none, None)
+    writes = [stages.apply(i) for i in range(stages.size()) if stages.apply(i).outputRecords() == 40]
+    assert writes and max(s.numTasks() for s in writes) == spark.sparkContext.defaultParallelism
