@@ -56,7 +56,8 @@ class Encoder:
             self.width[i] = len(name)
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        # without the offsets of the tokens, which nothing here reads
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def encode(self, text: str) -> bytes:
         if self._whole.search(text) or any(s in text for s in self.special):
