@@ -21,15 +21,20 @@ MIN_CHARS = 20  # shorter lines (brackets, list marks, page numbers) take no par
 BLOCK = 256  # what stands before and after a block is hashed once for all its variants
 
 
+def _trimmed(line: Column | str) -> Column:
+    return F.btrim(line, F.lit(" \t\r"))
+
+
 def normalised(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(" \t\r")))
+    return ascii_lower(_trimmed(line))
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(_id, _n, _line, _h1, _h2): lines that take part, with a 128-bit identity."""
     body = F.split(F.coalesce("_text", F.lit("")), "\n")
     rows = docs.select("_id", F.posexplode(body).alias("_n", "_raw"))
-    rows = rows.select("_id", "_n", normalised(F.col("_raw")).alias("_line")).where(F.length("_line") >= min_chars)
+    # lower-casing keeps the length; tested on the raw line, so that it is not worked out twice
+    rows = rows.where(F.length(_trimmed("_raw")) >= min_chars).select("_id", "_n", normalised(F.col("_raw")).alias("_line"))
     return rows.withColumns({"_h1": F.xxhash64("_line"), "_h2": F.xxhash64(F.lit(1), "_line")})
 
 

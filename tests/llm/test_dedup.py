@@ -148,3 +148,15 @@ def test_jaccard_components(spark, monkeypatch):
     kept = {r.doc_id for r in nj.one_per_component(docs).collect()} - {None}
     want = brute.jaccard_components(rows, 5, 80)
     assert kept == {i for i, (_, c) in want.items() if i == c}
+
+
+def test_lines_are_lower_cased_once(spark):
+    """Testing the length of a lower-cased line works it out twice; only A-Z may change."""
+    from folioframe.llm import common, line_dedup
+
+    texts = ["ABC xyz", "ÀÉ ABC", "İSTANBUL", "\u212aELVIN", "ΣΑΣ ABC", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string")
+    got = dict(docs.select("_id", common.ascii_lower(docs["_text"])).collect())
+    assert [got[i] for i in range(len(texts))] == [t and t.translate(str.maketrans(common.UPPER, common.LOWER)) for t in texts]
+    plan = line_dedup._lines(docs, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
