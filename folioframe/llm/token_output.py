@@ -36,12 +36,14 @@ class Encoder:
     """Byte-level BPE of the tokenizers library, with the words it has met kept as bytes.
 
     A space before a character that is no white space always starts a new piece for
-    the pre-tokenizer, so a text is the concatenation of its words split there.  A text
-    with other white space around a space, or with the string of a special token, goes
-    through the library as a whole.
+    the pre-tokenizer, and so does a line break there, so a text is the concatenation of
+    its words split before both.  Line breaks before other white space stay within their
+    words.  A text with other white space around a space, or with the string of a special
+    token, goes through the library as a whole.
     """
 
     _whole = re.compile(r" (?=\s|\Z)")
+    _blank = re.compile(r"\n(?=\s|\Z)")
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -62,9 +64,11 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if self._whole.search(text) or any(s in text for s in self.special):
             return self._ids(text).tobytes()
+        if "\n" in text and not self._blank.search(text):
+            text = text.replace("\n", " \n")  # no other word begins with a line break
         first, *rest = text.split(" ")
-        new = list({w for w in rest if w not in self.words})
-        parts = [first, *(" " + w for w in new)]
+        new = list(set(rest).difference(self.words))
+        parts = [first, *(w if w[0] == "\n" else " " + w for w in new)]
         ids = self._ids("".join(parts))  # the new words at once, told apart by their bytes
         stops = np.cumsum([len(p.encode()) for p in parts])
         cut = (np.searchsorted(np.cumsum(self.width[ids]), stops, "right") * ids.itemsize).tolist()

@@ -55,3 +55,15 @@ def test_encoder_takes_ids_without_offsets(vocabulary):
     tokenizer, e.tokenizer = e.tokenizer, Ids()
     for text in ("plain words", "a  b", "a <|endoftext|> b"):
         assert np.frombuffer(e.encode(text), e.kind).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_words_split_at_line_breaks():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = to.Encoder(f.read())
+    texts = ["", "\n", "a", "a\nb c\nb", "\na b", "a b\n", "a\n\nb", "a\n\n\nb c", "a\r\nb c", "a\t\nb", "a\n\tb", "a\n b", "a \nb", "ß\né\n😀 x", "x.\n'tis\n's\n42\n--", "a\u2028\nb\n\u00a0c"]
+    for text in texts + ["x ".join(texts)] + texts:
+        ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.encode(text), encoder.kind).tolist() == ids, text
+    assert {"\nb", "\né"} <= encoder.words.keys()  # a word after a line break is kept as one of its own
