@@ -61,17 +61,23 @@ class Model:
     weights: np.ndarray  # (SLOTS, languages)
 
 
-def fit(texts_presence: np.ndarray, languages: list[str], ridge: float = RIDGE) -> Model:
-    """Kernel ridge regression on Nyström features from presence rows and their languages."""
+def fit(packed: np.ndarray, languages: list[str], ridge: float = RIDGE) -> Model:
+    """Kernel ridge regression on Nyström features from presence rows (bits) and their languages.
+
+    Rows stay packed and matrices are taken a block at a time: this runs on the driver.
+    """
     names = sorted(set(languages))
     if not names:
         return Model((), np.zeros((SLOTS, 0), np.float32))
     label = np.array([names.index(x) for x in languages])
     picked = np.concatenate([np.flatnonzero(label == c)[:LANDMARKS_PER_LANGUAGE] for c in range(len(names))])
-    rows = texts_presence
-    norm = np.sqrt(np.maximum(rows.sum(axis=1, dtype=np.int64), 1))
-    marks = (rows[picked] / norm[picked, None]).astype(np.float32)
-    kernel = np.concatenate([rows[i : i + BLOCK].astype(np.float32) @ marks.T for i in range(0, len(rows), BLOCK)])
+    starts = range(0, len(packed), BLOCK)
+    sums = [np.unpackbits(packed[i : i + BLOCK], axis=1).sum(axis=1, dtype=np.int64) for i in starts]
+    norm = np.sqrt(np.maximum(np.concatenate(sums), 1))
+    marks = np.empty((len(picked), SLOTS), np.float32)
+    for row, i in zip(marks, picked):
+        row[:] = np.unpackbits(packed[i]) / norm[i]
+    kernel = np.concatenate([np.unpackbits(packed[i : i + BLOCK], axis=1).astype(np.float32) @ marks.T for i in starts])
     kernel = kernel.astype(np.float64) / norm[:, None]
     values, vectors = np.linalg.eigh(kernel[picked])
     good = values > 1e-6 * values.max()
@@ -81,7 +87,8 @@ def fit(texts_presence: np.ndarray, languages: list[str], ridge: float = RIDGE)
     share = 1.0 / np.bincount(label)[label]  # languages weigh the same
     left = phi.T @ (phi * share[:, None]) + ridge * np.eye(phi.shape[1])
     alpha = lift @ np.linalg.solve(left, phi.T @ (goal * share[:, None]))
-    return Model(tuple(names), (marks.T.astype(np.float64) @ alpha).astype(np.float32))
+    weights = [(marks[:, i : i + SLOTS // 16].T.astype(np.float64) @ alpha).astype(np.float32) for i in range(0, SLOTS, SLOTS // 16)]
+    return Model(tuple(names), np.concatenate(weights))
 
 
 def _presence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,8 +117,8 @@ def train(
     texts = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     picked = texts.join(F.broadcast(ids), "_id").select("_text", "_lang")  # per_language ids of each language
     found = sorted((r["lang"], bytes(r["bits"])) for r in picked.mapInArrow(_presence_rows, "lang string, bits binary").collect())
-    bits = np.array([np.unpackbits(np.frombuffer(b, np.uint8)) for _, b in found]) if found else np.zeros((0, SLOTS), np.uint8)
-    return fit(bits, [lang for lang, _ in found])
+    packed = np.frombuffer(b"".join(b for _, b in found), np.uint8).reshape(-1, SLOTS // 8)
+    return fit(packed, [lang for lang, _ in found])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
