@@ -14,7 +14,7 @@ from folioframe.functions import text as tx
 from folioframe.plans import bindings as b
 from folioframe.plans.registry import register
 from folioframe.plans.run_queries import STREAKS, TRIPPED, sql_walk, steps
-from folioframe.session import new_folder, spread
+from folioframe.session import new_folder
 from folioframe.sources import archive as ar
 from folioframe.sources import tables as tb
 from folioframe.streaming import flows
@@ -169,8 +169,7 @@ def scan_archive(spark, sf):
     """Every document written as a file in a folder of its own, then listed with hashes."""
     root = scratch(spark, "archive")
     docs = b.table(spark, sf, "documents").select("lang", "doc_id", F.col("text").alias("value"))
-    # a file costs milliseconds whatever its size, so small tables are written by all cores too
-    spread(docs, "lang", "doc_id").write.partitionBy("lang", "doc_id").text(f"{root}/files")
+    ar.write_archive(docs, f"{root}/files", ["lang", "doc_id"])
     listing = ar.scan_archive(spark, f"{root}/files", compute_hash=True)
     return listing.select(
         F.regexp_extract("relative_path", "^(.*)/[^/]+$", 1).alias("folder"), "extension", "import_action", "size_bytes", "content_hash"

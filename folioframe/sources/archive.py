@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe import fixed_values as fx
 from folioframe.functions import text as tx
+from folioframe.session import reuse, spread
 from folioframe.sources import formats as fm
 
+LISTING_TASKS = 8  # a core, of a listing; Spark's own limit is 10,000 whatever the machine
+
+
 def import_action(extension: Column) -> Column:
     e = F.lower(extension)
     return (
@@ -34,11 +43,70 @@ def manifest_columns(files: DataFrame, path_col: str = "relative_path") -> DataF
     )
 
 
+def write_archive(rows: DataFrame, root: str, keys: list[str], text: str = "value") -> None:
+    """A text file a row under ``root/key=value/..``, as Spark's partitioned text writer names its folders.
+
+    That writer pays for each file with temporary folders, checksums and renames, the last of them
+    by the driver alone; on a local file system tasks write the files in place.  A task that is
+    run again writes the same names, so it leaves no file twice.
+    """
+    spread_rows = spread(rows.select(*keys, text), *keys)
+    local = _local_path(root)
+    if local is None:
+        spread_rows.write.partitionBy(*keys).text(root)
+        return
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), Counter()
+        for batch in batches:
+            names = []
+            for folder, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen[folder] += 1  # rows with the same keys are files of one folder
+                os.makedirs(f"{local}/{folder}", exist_ok=True)
+                names.append(f"{folder}/part-{part:05d}-{seen[folder]:05d}.txt")
+                with open(f"{local}/{names[-1]}", "wb") as f:
+                    f.write((value or "").encode() + b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["file"])
+
+    os.makedirs(local, exist_ok=True)
+    folder = F.concat_ws("/", *[F.concat(F.lit(f"{k}="), _folder_value(F.col(k).cast("string"))) for k in keys])
+    reuse(spread_rows.select(folder.alias("folder"), text).mapInArrow(write, "file string"))
+
+
+def _local_path(uri: str) -> str | None:
+    """The path of a folder of the local file system, or of one mounted on all machines; else null."""
+    if uri.startswith("file:"):
+        return "/" + uri[5:].lstrip("/")
+    return None if re.match("[a-zA-Z][a-zA-Z0-9+.-]*:", uri) else uri
+
+
+def _folder_value(value: Column) -> Column:
+    """A value in the name of a folder: null, empty and special characters as Spark writes them."""
+    special = [chr(i) for i in range(1, 32)] + list("\"#'*/:=?\\\x7f{[]^")
+    named = F.replace(value, F.lit("%"), F.lit("%25"))
+    for c in special:
+        named = F.replace(named, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    named = F.when(value.rlike(r"[\x01-\x1f\"#%'*/:=?\\\x7f{\[\]^]"), named).otherwise(value)
+    return F.when(F.coalesce(value, F.lit("")) == "", "__HIVE_DEFAULT_PARTITION__").otherwise(named)
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """All files below ``root``; a listing of many folders is cut into as many tasks as the cores can use."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    tasks = min(int(before), LISTING_TASKS * spark.sparkContext.defaultParallelism)
+    spark.conf.set(name, str(tasks))
+    try:  # the files are listed here, not when they are read
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    finally:
+        spark.conf.set(name, before)
+
+
 def scan_archive(
     spark: SparkSession, root: str, compute_hash: bool = False, max_entries: int | None = None
 ) -> DataFrame:
     """Recursive listing -> manifest; content is read only when hashes are asked for."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = _listed(spark, root)
     base = root.rstrip("/") + "/"
     rel = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"^[a-z0-9]+:/*(?=/)", "")
     rel = F.substring(rel, F.lit(len(base) + 1), F.length(rel))

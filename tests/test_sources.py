@@ -145,3 +145,23 @@ def test_scan_archive_writes_its_files_on_all_cores(spark, tmp_path):
     stages = store.stageList(None, False, False, none, None)
     writes = [stages.apply(i) for i in range(stages.size()) if stages.apply(i).outputRecords() == 40]
     assert writes and max(s.numTasks() for s in writes) == spark.sparkContext.defaultParallelism
+
+
+def test_archive_files_lie_where_the_text_writer_puts_them(spark, tmp_path):
+    odd = ["en", None, "", "a/b=c", "50%", "é ю", "x:y?*#\"'{[]^\\", "tab\there", "\x7f", "+"]
+    rows = [(lang, i, None if i == 3 else f"text {i}\nя") for i, lang in enumerate(odd)]
+    docs = spark.createDataFrame(rows, "lang string, doc_id long, value string")
+    ar.write_archive(docs, f"file:{tmp_path}/own", ["lang", "doc_id"])
+    docs.write.partitionBy("lang", "doc_id").text(f"{tmp_path}/spark")
+    files = lambda root: {str(p.parent.relative_to(root)): p.read_bytes() for p in root.rglob("*.txt")}
+    assert files(tmp_path / "own") == files(tmp_path / "spark") and len(files(tmp_path / "own")) == len(odd)
+
+
+def test_documents_with_one_key_are_files_of_their_own(spark, tmp_path):
+    from folioframe.plans import source_queries as sq
+
+    docs = spark.createDataFrame([(1, "en", "one"), (1, "en", "two"), (2, "en", "three")], "doc_id long, lang string, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sq.scan_archive(spark, str(tmp_path)).collect()
+    assert sorted((r["folder"], r["size_bytes"]) for r in rows) == [("lang=en/doc_id=1", 4), ("lang=en/doc_id=1", 4), ("lang=en/doc_id=2", 6)]
+    assert len({r["content_hash"] for r in rows}) == 3
