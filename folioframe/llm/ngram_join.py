@@ -184,6 +184,31 @@ class _Region:
         self.above, self.below = bound  # a link: below * intersection >= above * union
         self.eps = 1 - bound[0] / bound[1]
         self.root = np.arange(len(sets))
+        self._rare: tuple[np.ndarray, ...] | None = None
+
+    def sharing_rare(self, i: int) -> np.ndarray:
+        """The sets that share one of the rarest shingles of set ``i``: all that can be linked with it are among them.
+
+        A linked set holds ``t`` of all shingles of ``i`` and the other way round.  So in one order of all
+        shingles their first common one is among the first ``n - ceil(t * n) + 1`` of both.
+        """
+        if self._rare is None:
+            n = len(self.mark)
+            order = np.argsort(np.bincount(self.codes, minlength=n), kind="stable")
+            rank = np.empty(n, np.int64)
+            rank[order] = np.arange(n)
+            owner = np.repeat(np.arange(len(self.size)), self.size)
+            keys = np.sort(owner * n + rank[self.codes])
+            first = self.size + self.size * -self.above // self.below + 1
+            kept = np.arange(len(keys)) - self.start[owner] < first[owner]
+            owner, mine = owner[kept], keys[kept] % max(n, 1)
+            count = np.bincount(mine, minlength=n)
+            self._rare = mine, np.cumsum(first) - first, first, owner[np.argsort(mine, kind="stable")], np.cumsum(count) - count, count
+        mine, at, first, held, start, count = self._rare
+        own = mine[at[i] : at[i] + first[i]]
+        own = own[count[own] > 1]
+        times = count[own]
+        return held[np.arange(times.sum()) + np.repeat(start[own] - (np.cumsum(times) - times), times)]
 
     def find(self, i: int) -> int:
         while self.root[i] != i:
@@ -224,8 +249,13 @@ def join_region(sets: list[np.ndarray], bound: tuple[int, int]) -> np.ndarray:
     def leaf(which: np.ndarray, distance: np.ndarray) -> None:
         codes, start = region.gather(which)
         ends = np.append(start[1:], len(codes))
+        place = np.full(len(region.size), -1)
+        place[which] = np.arange(len(which))
         for k in range(len(which) - 1):
             i, rest = which[k], np.arange(k + 1, len(which))
+            if len(which) > LEAF:  # a leaf that pivots could not cut: few of its pairs share a rare shingle
+                rest = np.unique(place[region.sharing_rare(i)])
+                rest = rest[rest > k]
             near = np.abs(distance[rest] - distance[k]).max(axis=1, initial=0.0) <= region.eps + slack
             other = which[rest]
             low, high = np.minimum(region.size[i], region.size[other]), np.maximum(region.size[i], region.size[other])

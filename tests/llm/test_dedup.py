@@ -160,3 +160,20 @@ def test_lines_are_lower_cased_once(spark):
     assert [got[i] for i in range(len(texts))] == [t and t.translate(str.maketrans(common.UPPER, common.LOWER)) for t in texts]
     plan = line_dedup._lines(docs, 20)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(") == 1
+
+
+def test_large_leaves_only_compare_sets_that_share_a_rare_shingle(monkeypatch):
+    """Sets that have frequent shingles in common, which pivots cannot tell apart; a few are near copies."""
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 2**64, 40, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(common, 25, False), rng.integers(0, 2**64, 60, dtype=np.uint64)])) for _ in range(300)]
+    sets += [np.unique(np.concatenate([s[rng.random(len(s)) > 0.04], rng.integers(0, 2**64, 2, dtype=np.uint64)])) for s in sets[:40]]
+    compared, shared = [], nj._Region.shared
+    monkeypatch.setattr(nj._Region, "shared", lambda self, i, others, *rest: compared.append(len(others)) or shared(self, i, others, *rest))
+    for bound in ((80, 100), (90, 100)):
+        compared.clear()
+        root = nj.join_region(sets, bound)
+        link = lambda a, b: 100 * len(np.intersect1d(a, b)) >= bound[0] * len(np.union1d(a, b))
+        want = brute.roots(set(range(len(sets))), [(i, j) for i in range(300) for j in range(300, len(sets)) if link(sets[i], sets[j])])
+        assert {i: int(r) for i, r in enumerate(root)} == want and len(set(want.values())) < len(sets)
+        assert sum(compared) < 12 * len(sets)  # pivots included; before, nearly every pair
